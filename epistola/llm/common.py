@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epistola.session import share_package
+
 #: Rows and bytes of one Arrow batch, so that a run of very long texts stays small in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches for this session."""
+    """Bound Arrow batches for this session and make the package known to its workers."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
