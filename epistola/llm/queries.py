@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistola.llm import decontaminate, exact_dedup, ngram_join, sharding
+from epistola.llm import decontaminate, exact_dedup, ngram_join, pieces, quality, sharding, token_counts
 from epistola.llm.common import table
 
 
@@ -15,6 +16,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), arrays=False, keep=["doc_id"])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     names = F.array_join("hit_items", ",")
@@ -29,9 +39,29 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted, then counted again after three edits that its own text gives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sample_edits("text").alias("edits"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_edited(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def sample_edits(text: str) -> Column:
+    """Insert a phrase in the middle, delete up to 17 characters at the third, replace up to 5 at the start."""
+    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
+
+    def edit(position: Column, deleted: int, inserted: str) -> Column:
+        return F.struct(position.cast("long").alias("position"), F.lit(deleted).cast("long").alias("deleted"), F.lit(inserted).alias("inserted"))
+
+    return F.array(edit(F.floor(n / 2), 0, " see also the 2nd note's"), edit(F.floor(n / 3), 17, ""), edit(F.lit(0), 5, "Draft: "))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_token_counts": op10_token_counts,
 }
