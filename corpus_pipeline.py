@@ -1,10 +1,59 @@
-"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, token ids."""
+"""The corpus pipeline: quality, exact copies, near copies, benchmark passages, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
+rows as Parquet in the shared folder and rereads them as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from epistola.llm import decontaminate, exact_dedup, ngram_join, pieces, quality
+from epistola.llm.common import materialize, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The longest document of each group of equal texts."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of similar ones."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token counts and digests of their ids and decoded texts."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), arrays=False)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece encoding and decoding", token_stage),
+]
+
+#: The classifier, the join and the encoder have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return docs
