@@ -23,7 +23,7 @@ def typed(stream: DataFrame) -> DataFrame:
 
 def issue_counts(events: DataFrame, time: str = "ts", issue: str = "event_type", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts per issue and time window; rows later than `late` are dropped by the watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), issue).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", issue, "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), issue).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", issue, "n")
 
 
 def against_history(stream: DataFrame, history: DataFrame, block: str = "project") -> DataFrame:
