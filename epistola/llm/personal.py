@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CUES = frozenset("at dot com org net example mail email e-mail address write contact tel phone call fax mobile ring number ip host server node from card visa pay account no id ref code token page year line".split())
 FEATURES, SLOTS = 4096, 5
 LABELLED_WORDS = 200_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _DIGITS = re.compile(r"[^0-9]")
 
@@ -142,12 +142,17 @@ class Field:
 
     def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
         self.emit, self.move = emit.astype(np.float32), move.astype(np.float32)
-        self.words: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start without known words; row 0 of the table stands for what lies beyond a line."""
+        self.cache.clear()
+        self.words: dict[tuple[int, ...], int] = {}
         self.table = np.zeros((256, 3, len(LABELS)), np.float32)
         self._add(EDGE_FEATURES)
 
     def _add(self, ids: tuple[int, ...]) -> int:
-        at = self.words.setdefault(ids, len(self.words))  # type: ignore[arg-type]
+        at = self.words.setdefault(ids, len(self.words))
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if at == len(self.words) - 1:
@@ -210,8 +215,8 @@ class Field:
 
     def decode(self, lines: list[list[str]]) -> dict[int, np.ndarray]:
         """Best labels of the lines that have any but O."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if max(len(self.cache), len(self.words)) > CACHE_WORDS:
+            self._forget()
         get = self.cache.__getitem__
         length = np.array([len(s) for s in lines], np.int64)
         if not length.sum():
