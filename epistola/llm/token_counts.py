@@ -26,7 +26,7 @@ from epistola.llm.common import map_rows, text_of
 LEAF = 64
 #: How far past its end a match of the pattern may have looked (the longest contraction).
 LOOK = 3
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 100_000
 
 
 class Tokenizer:
