@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,16 @@ def test_base_spans_equal_brute_force():
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(12)))
         assert personal.base_spans(text) == brute_base(text)
+    for _ in range(3000):
+        text = "".join(r.choice("aB7._@-+ ") for _ in range(r.randrange(25)))
+        assert personal.base_spans(text) == brute_base(text)
+
+
+def test_base_spans_of_very_long_runs():
+    start = time.perf_counter()
+    assert personal.base_spans("1" * 300_000 + ". " + "a" * 300_000 + " @" + "." * 300_000) == []
+    assert personal.base_spans("0" * 5_000 + "1.2.3.4") == [("ip", 0, 5_007)]
+    assert time.perf_counter() - start < 5
 
 
 @pytest.fixture(scope="module")
