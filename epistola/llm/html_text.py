@@ -55,7 +55,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class _Node:
     __slots__ = ("tag", "path", "noise", "content", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, content: bool) -> None:
+    def __init__(self, tag: str, path: int, noise: bool, content: bool) -> None:
         self.tag, self.path, self.noise, self.content = tag, path, noise, content
         self.children: list[str] = []
 
@@ -75,15 +75,17 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
     return name, noise
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str, str]]]:
+def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int, str]]]:
     """A page's blocks (style path, parent's path, inside content, text), and (path, child list) of its nodes.
 
+    A path is a 64-bit code of the parent's path and the style name, so deep pages stay small.
+
     Noise elements leave no block. Character references are decoded; white space inside a
     block is one space. End tags may be missing.
     """
-    out: list[tuple[str, str, bool, str]] = []
-    nodes: dict[str, _Node] = {}
-    stack = [_Node("", "", False, False)]
+    out: list[tuple[int, int, bool, str]] = []
+    nodes: dict[int, _Node] = {}
+    stack = [_Node("", 0, False, False)]
     text: list[str] = []
     quiet = 0  # open noise elements
 
@@ -93,7 +95,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str,
                 body = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
                 if body:
                     top = stack[-1]
-                    parent = stack[-2].path if len(stack) > 1 else ""
+                    parent = stack[-2].path if len(stack) > 1 else 0
                     out.append((top.path, parent, top.content, body))
             text.clear()
 
@@ -153,7 +155,7 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, str]], list[tuple[str,
         name, noise = _style(tag, attributes)
         parent = stack[-1]
         parent.children.append(name)
-        node = _Node(tag, f"{parent.path}>{name}", noise, (parent.content or tag in CONTENT) and not noise)
+        node = _Node(tag, _code(f"{parent.path}>{name}"), noise, (parent.content or tag in CONTENT) and not noise)
         stack.append(node)
         nodes[node.path] = node
         quiet += noise
@@ -182,8 +184,8 @@ def style_importance(pages: DataFrame, url: str = "url", html: str = "html") ->
             rows = []
             for body in bodies:
                 found, nodes = blocks(body)
-                leaves = {(_code(path), _code(parent), "content", _code(text)) for path, parent, content, text in found if not content}
-                shapes = {(_code(path), 0, "shape", _code(children)) for path, children in nodes}
+                leaves = {(path, parent, "content", _code(text)) for path, parent, content, text in found if not content}
+                shapes = {(path, 0, "shape", _code(children)) for path, children in nodes}
                 rows.append([dict(zip(("path", "parent", "kind", "feature"), f, strict=True)) for f in sorted(leaves | shapes)])
             return [rows]
 
@@ -229,7 +231,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float =
             texts = []
             for body, low_paths in zip(bodies, lows, strict=True):
                 low_paths = frozenset(low_paths or ())
-                texts.append("\n".join(t for path, _, content, t in blocks(body)[0] if content or not low_paths or _code(path) not in low_paths))
+                texts.append("\n".join(t for path, _, content, t in blocks(body)[0] if content or path not in low_paths))
             return [texts, [len(t) for t in texts]]
 
         return work

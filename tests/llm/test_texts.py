@@ -88,6 +88,11 @@ def test_repeated_branches_of_a_site_go(spark, monkeypatch, bound):
     assert {r.text for r in html_text.extract(pages).collect()} == {f"Own text number {i * 7919}" for i in range(30)}
 
 
+def test_very_deep_pages():
+    found, nodes = html_text.blocks("<div class='a'>x" * 20_000)
+    assert len(found) == 20_000 and len(nodes) == 19_999 and len({path for path, *_ in found}) == 20_000
+
+
 def test_pages_of_the_test_table(spark, sf):
     given = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op3_html_text"](spark, sf).collect():
