@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from epistola.llm.common import map_rows, text_of
 
 WINDOW = 13
-#: Bytes of benchmark text searched for in one pass; a larger benchmark takes several passes.
-PASS_BYTES = 8 << 20
+#: Bytes of benchmark text searched for in one pass (about 140 bytes of tables each); a larger benchmark takes several passes.
+PASS_BYTES = 2 << 20
 #: Words after A-Z are lower-cased: runs of digits, a-z and characters from U+0080 on (fixed values).
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -118,18 +118,18 @@ def _matcher(items: tuple) -> Matcher:
     return _matchers[items]
 
 
-def _passes(benchmark: DataFrame, item: str, text: str, pass_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in passes of at most pass_bytes (or one item), read one at a time by the driver."""
-    passes: list[list[tuple[str, str]]] = [[]]
+def _passes(benchmark: DataFrame, item: str, text: str, pass_bytes: int) -> Iterator[tuple[tuple[tuple[str, str], ...], bool]]:
+    """The items in passes of at most pass_bytes (or one item) and whether a pass is the last; the driver holds two at a time."""
+    made: list[tuple[str, str]] = []
     room = pass_bytes
     for row in benchmark.select(F.col(item).cast("string"), text_of(text)).toLocalIterator():
         size = len(row[1].encode()) + 64
-        if passes[-1] and size > room:
-            passes.append([])
-            room = pass_bytes
-        passes[-1].append((row[0], row[1]))
+        if made and size > room:
+            yield tuple(made), False
+            made, room = [], pass_bytes
+        made.append((row[0], row[1]))
         room -= size
-    return passes
+    yield tuple(made), True
 
 
 def find(
@@ -146,10 +146,9 @@ def find(
     new = [("n_words", T.LongType()), ("hit_runs", _RUNS), ("hit_items", T.ArrayType(T.StringType()))]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new} | {"n_hit", "n_items", "contaminated"}]
     sc = docs.sparkSession.sparkContext
-    out, last = docs.withColumn("__text", text_of(text)).drop(*[n for n, _ in new]), None
-    passes = _passes(benchmark, item, item_text, pass_bytes)
-    for number, items in enumerate(passes):
-        shared = sc.broadcast(tuple(items))
+    out = docs.withColumn("__text", text_of(text)).drop(*[n for n, _ in new])
+    for number, (items, last) in enumerate(_passes(benchmark, item, item_text, pass_bytes)):
+        shared = sc.broadcast(items)
 
         def make(shared=shared, more=number > 0):
             def work(texts, *before):
@@ -168,7 +167,7 @@ def find(
             return work
 
         inputs = ["__text", "hit_runs", "hit_items"] if number else ["__text"]
-        stay = [*keep, "__text"] if number < len(passes) - 1 else keep
+        stay = keep if last else [*keep, "__text"]
         out = map_rows(out, inputs, new, make, stay)
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
     return out.withColumn("n_hit", n_hit).withColumns(
