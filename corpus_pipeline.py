@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from epistola.llm import decontaminate, exact_dedup, ngram_join, pieces, quality
 from epistola.llm.common import materialize, table
 
+#: Words of a shingle and least Jaccard, in percent, of near copies in the corpus (op9 has its own).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -25,8 +28,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of similar ones."""
-    return ngram_join.keep_one(docs)
+    """The first document of each component of texts whose sets of five-word shingles have a Jaccard of 0.8 or more."""
+    return ngram_join.keep_one(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
