@@ -39,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token counts and digests of their ids and decoded texts."""
+    """The documents with their token counts and digests of their ids, decoded texts and source spans."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), arrays=False)
 
 
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows without spans_sha256, which stays in what that stage wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
-    return docs
+    return docs.drop("spans_sha256")

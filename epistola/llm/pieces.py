@@ -148,7 +148,7 @@ class Model:
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in longer)
         letters = "".join(map(re.escape, joint))
         self.chunk = None if inside or not joint else re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]", re.DOTALL)
-        self.cache: dict[str, tuple[bytes, np.ndarray, bytes]] = {}
+        self.cache: dict[str, tuple[bytes, bytes, bytes]] = {}
 
     def _merge(self, chunk: str) -> list[str]:
         """BPE of one chunk: symbols in a linked list, candidate pairs in a heap."""
@@ -186,8 +186,8 @@ class Model:
             offer(i, following[i])
         return [s for s in symbols if s]
 
-    def _encode_chunk(self, chunk: str) -> tuple[bytes, np.ndarray, bytes]:
-        """ids as little-endian uint32, bytes of each piece, decoded bytes."""
+    def _encode_chunk(self, chunk: str) -> tuple[bytes, bytes, bytes]:
+        """ids and lengths in bytes of the pieces, both as little-endian uint32, and decoded bytes."""
         ids, widths = [], []
         for s in self._merge(chunk):
             if (i := self.ids.get(s)) is not None:
@@ -200,20 +200,20 @@ class Model:
             else:
                 ids.append(self.unknown)
                 widths.append(len(s.encode("utf-8", "surrogatepass")))
-        made = struct.pack(f"<{len(ids)}I", *ids), np.array(widths, np.int64), self.decode_body(ids).encode()
+        made = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(ids)}I", *widths), self.decode_body(ids).encode()
         if len(self.cache) >= CACHE_CHUNKS:
             self.cache.clear()
         if len(chunk) < 64:
             self.cache[chunk] = made
         return made
 
-    def encode(self, text: str, spans: bool = True) -> tuple[bytes, np.ndarray | None, np.ndarray | None, bytes]:
+    def encode(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
         """ids (little-endian uint32) with begin and end, source byte starts and ends, decoded bytes.
 
         Begin and end ids and an added first space alone have empty spans; all bytes of one character's byte pieces, and all
         pieces of one replacement, share that character's source span.
         """
-        normal, offsets = self.normalizer(text) if spans or not self.normalizer.plain() else (self._marked(text), None)
+        normal, offsets = self.normalizer(text)
         whole = normal.decode("utf-8", "surrogatepass")
         parts = self.chunk.findall(whole) if self.chunk else [whole] * bool(whole)
         get = self.cache.get
@@ -222,24 +222,18 @@ class Model:
         decoded = b"".join([m[2] for m in made])
         if self.normalizer.dummy and decoded.startswith(b" "):
             decoded = decoded[1:]
-        if not spans:
-            return ids, None, None, decoded
         size = len(text.encode("utf-8", "surrogatepass"))
-        ends = np.cumsum(np.concatenate([[0], *[m[1] for m in made]])).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join([m[1] for m in made]), "<u4"), dtype=np.int64)])
         starts = offsets[ends[:-1]]
         # the first source offset after the piece's last byte
         last = offsets[np.maximum(ends[1:] - 1, 0)]
-        distinct = np.unique(offsets)
-        stop = np.append(distinct, size)[np.searchsorted(distinct, last, side="right")] if len(last) else last
-        stop = np.where(offsets[ends[1:]] > last, offsets[ends[1:]], stop) if len(last) else stop
+        distinct = offsets[np.append(True, offsets[1:] != offsets[:-1])]  # offsets never fall
+        stop = np.append(distinct, size)[np.searchsorted(distinct, last, side="right")]
+        stop = np.where(offsets[ends[1:]] > last, offsets[ends[1:]], stop)
         if self.normalizer.dummy:
             stop = np.where(ends[1:] <= len(self.normalizer.space), starts, stop)
         return ids, np.concatenate([[0], starts, [size]]), np.concatenate([[0], stop, [size]]), decoded
 
-    def _marked(self, text: str) -> bytes:
-        data = text.encode("utf-8", "surrogatepass")
-        return (self.normalizer.space if self.normalizer.dummy else b"") * bool(data) + data.replace(b" ", self.normalizer.space)
-
     def decode_body(self, ids: list[int]) -> str:
         """Pieces to text without the removal of the first space; a byte that starts no whole character is U+FFFD."""
         out, run = [], bytearray()
@@ -286,15 +280,16 @@ def _model(blob: bytes) -> Model:
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", arrays: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """Append n_tokens, ids_sha256, decoded_sha256 to docs, with arrays also ids, starts, ends, decoded.
+    """Append n_tokens, ids_sha256, decoded_sha256, spans_sha256 to docs, with arrays also ids, starts, ends, decoded.
 
-    ids are all ids with begin and end; starts and ends are source byte offsets of each id.
+    ids are all ids with begin and end; starts and ends are source byte offsets of each id;
+    spans_sha256 digests them as little-endian int64, all starts and then all ends.
     Null text counts as empty and has two ids; an empty table gives an empty table; columns
     with the names of new ones are replaced.
     """
     with open(model_file, "rb") as f:  # a bounded file, read by the driver
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("spans_sha256", T.StringType())]
     longs = T.ArrayType(T.LongType())
     new += [("ids", longs), ("starts", longs), ("ends", longs), ("decoded", T.StringType())] * arrays
 
@@ -302,8 +297,9 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", arrays: bool =
         model = _model(shared.value)
 
         def work(texts):
-            made = [model.encode(t, arrays) for t in texts]
+            made = [model.encode(t) for t in texts]
             out = [[len(m[0]) // 4 for m in made], [hashlib.sha256(m[0]).hexdigest() for m in made], [hashlib.sha256(m[3]).hexdigest() for m in made]]
+            out.append([hashlib.sha256(np.concatenate(m[1:3]).astype("<i8").tobytes()).hexdigest() for m in made])
             if arrays:
                 out += [[np.frombuffer(m[0], "<u4").astype(np.int64) for m in made], [m[1] for m in made], [m[2] for m in made], [m[3].decode() for m in made]]
             return out

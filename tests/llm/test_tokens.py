@@ -79,6 +79,28 @@ def test_encode_table_with_odd_rows(spark):
     assert {r.n_tokens for r in empty} == {2} and all(r.decoded == "" for r in empty)
 
 
+def test_query_and_stage_make_the_spans_of_the_library(spark, sf):
+    import corpus_pipeline
+    from epistola.llm.queries import QUERIES
+
+    library = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {}
+    for i, text in texts.items():
+        at, starts, ends = 0, [0], [0]
+        for p in library.encode(text, return_type="proto").pieces:
+            starts.append(at)
+            at += len(p.surface.encode())
+            ends.append(at)
+        size = len(text.encode())
+        want[i] = hashlib.sha256(struct.pack(f"<{2 * len(starts) + 2}q", *starts, size, *ends, size)).hexdigest()
+    plain = [i for i, t in texts.items() if all(p.id > 258 for p in library.encode(t, return_type="proto").pieces)]  # no byte pieces, which share spans
+    for frame in (QUERIES["op4_sentencepiece"](spark, sf), corpus_pipeline.token_stage(spark, docs, sf)):
+        got = {r.doc_id: r.spans_sha256 for r in frame.collect()}
+        assert len(plain) > 10 and {i: got[i] for i in plain} == {i: want[i] for i in plain}
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
