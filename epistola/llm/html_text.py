@@ -34,6 +34,9 @@ BLOCKS = frozenset(
     "html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption article section main blockquote pre figure figcaption address details summary hr center".split()
 ) | NOISE
 CONTENT = frozenset(["article", "main"])
+#: Elements that no class, id or role makes noise, and those that leave an open head open.
+NEVER_NOISE = CONTENT | frozenset(["html", "body"])
+IN_HEAD = frozenset("html head title meta base basefont bgsound link script style noscript noframes template".split())
 CLOSES_P = BLOCKS - frozenset(["html", "body", "head", "li", "td", "th", "tr", "option", "label"])
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset(["table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main"])
@@ -60,6 +63,12 @@ class _Node:
         self.children: list[str] = []
 
 
+def _noise_token(token: str) -> bool:
+    """Whether a class, id or role is made of noise words alone, as cookie-notice is and no-sidebar is not."""
+    words = _WORDS.findall(token)
+    return bool(words) and all(w.lower() in NOISE_WORDS for w in words)
+
+
 def _style(tag: str, attributes: str) -> tuple[str, bool]:
     """Style name of an element (digits do not count) and whether its names mean noise."""
     if not attributes or attributes.isspace():
@@ -70,7 +79,7 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
         if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             noise = True
         elif key != "style":
-            noise = noise or any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value))
+            noise = noise or (tag not in NEVER_NOISE and any(map(_noise_token, value.split())))
             name += ("#" if key == "id" else ".") + re.sub(r"\d+", "0", value)
     return name, noise
 
@@ -105,19 +114,30 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
         while len(stack) > depth:
             quiet -= stack.pop().noise
 
+    def leave_head() -> None:
+        while stack[-1].tag == "head":
+            pop_to(len(stack) - 1)
+
+    def add(piece: str) -> None:
+        if stack[-1].tag == "head" and piece.strip(" \t\n\f\r"):
+            leave_head()
+        text.append(piece)
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            text.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if not closing and tag not in IN_HEAD:
+            leave_head()
         if tag not in BLOCKS and tag not in RAW:
             if tag in VOID:
                 text.append(" ")
@@ -177,23 +197,27 @@ _FEATURES = T.ArrayType(
 
 
 def style_importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, importance of the leaf styles of each host's tree (paths as 64-bit codes)."""
+    """host, path, importance of the leaf styles of each host's tree (paths as 64-bit codes).
+
+    Pages of a host with the same blocks are copies and count as one page.
+    """
 
     def make():
         def work(bodies):
-            rows = []
+            rows, copies = [], []
             for body in bodies:
                 found, nodes = blocks(body)
                 leaves = {(path, parent, "content", _code(text)) for path, parent, content, text in found if not content}
                 shapes = {(path, 0, "shape", _code(children)) for path, children in nodes}
                 rows.append([dict(zip(("path", "parent", "kind", "feature"), f, strict=True)) for f in sorted(leaves | shapes)])
-            return [rows]
+                copies.append(_code("\n".join(f"{path} {text}" for path, _, _, text in found)))
+            return [rows, copies]
 
         return work
 
     source = pages.select(host_of(url).alias("host"), text_of(html).alias("__html"))
-    each = map_rows(source, ["__html"], [("features", _FEATURES)], make, ["host"]).select("host", F.inline("features"))
-    counted = each.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"))
+    each = map_rows(source, ["__html"], [("features", _FEATURES), ("copy", T.LongType())], make, ["host"]).select("host", "copy", F.inline("features"))
+    counted = each.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"))
     counted = materialize(counted, "styles")
     total = F.sum("n").cast("double")
     shape = counted.where("kind = 'shape'").groupBy("host", F.col("path").alias("parent")).agg(
@@ -212,7 +236,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float =
 
     Kept are blocks inside article or main elements and blocks of styles whose importance is
     at least `low`; blocks are joined in page order by line feeds. A text seen on one page of
-    a host has full importance, so a host with one page loses only noise elements. Null html
+    a host, or on copies of one page, has full importance, so a host with one page loses only noise elements. Null html
     counts as empty and gives an empty text; null urls share the host with the empty name;
     an empty table gives an empty table; columns with the names of new ones are replaced.
     """

@@ -102,6 +102,27 @@ def test_pages_of_the_test_table(spark, sf):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize(
+    ("given", "kept"),
+    [
+        ("<html class='menu'><body class='no-sidebar'><div class='content-with-sidebar'><article class='post has-comments'><p>A</article></div><div class='cookie-notice'>n", ["A"]),
+        ("<main class=sidebar>q<div class='ad ad-1'>n</div><div class=AdBanner>n</div>", ["q"]),
+        ("<html><head><title>x</title><meta charset=a><body><p>Hi</body>", ["Hi"]),
+        ("<head> <title>x</title> <b>Bold</b> t<p>y", ["Bold t", "y"]),
+        ("<head><style>p{}</style>Plain", ["Plain"]),
+    ],
+)
+def test_noise_words_and_open_heads_empty_no_page(given, kept):
+    assert [text for *_, text in html_text.blocks(given)[0]] == kept
+
+
+def test_copies_of_a_page_count_once(spark):
+    rows = [(i, f"http://five.example/{i}", "".join(f"<p>Paragraph {j}" for j in range(5))) for i in range(100)]
+    rows += [(i, f"http://one.example/{i}", f"<p>Only text<!-- {i} -->") for i in range(200, 202)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {"\n".join(f"Paragraph {j}" for j in range(5)), "Only text"}
+
+
 # ---- urls
 
 
