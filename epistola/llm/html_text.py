@@ -4,8 +4,9 @@ Pages of a host are merged into a tree of styles: a node is the path of block el
 their classes. A leaf's content importance falls as its texts repeat over the host's pages
 (one minus the mean entropy of its texts); a node's presentation importance is the entropy
 of its child lists. Branches whose composite importance is low are cut from each page.
-Elements that mean navigation, notices and the like are noise in every tree, those inside
-an article or main element are content.
+Elements that mean navigation, notices and the like are noise in every tree. Blocks inside
+an article or main element are leaves of the tree too; as their element speaks for them, a
+prior and a lower limit hold for their styles, and they all stay on a page that would else be empty.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from epistola.llm.urls import host_of
 
 #: Weight of a leaf's content against its parent's presentation, and the importance below which a branch goes.
 CONTENT_WEIGHT, LOW = 0.9, 0.35
+#: The same limit inside article and main, and the pages without repetition that are counted there beforehand.
+ARTICLE_LOW, ARTICLE_PRIOR = 0.2, 10
 #: Low styles are broadcast up to this many; beyond it they are joined by host over SALTS parts.
 BROADCAST_STYLES, SALTS = 200_000, 16
 
@@ -197,7 +200,7 @@ _FEATURES = T.ArrayType(
 
 
 def style_importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, importance of the leaf styles of each host's tree (paths as 64-bit codes).
+    """host, path, article, importance of the leaf styles of each host's tree (paths as 64-bit codes).
 
     Pages of a host with the same blocks are copies and count as one page.
     """
@@ -207,7 +210,7 @@ def style_importance(pages: DataFrame, url: str = "url", html: str = "html") ->
             rows, copies = [], []
             for body in bodies:
                 found, nodes = blocks(body)
-                leaves = {(path, parent, "content", _code(text)) for path, parent, content, text in found if not content}
+                leaves = {(path, parent, "article" if content else "content", _code(text)) for path, parent, content, text in found}
                 shapes = {(path, 0, "shape", _code(children)) for path, children in nodes}
                 rows.append([dict(zip(("path", "parent", "kind", "feature"), f, strict=True)) for f in sorted(leaves | shapes)])
                 copies.append(_code("\n".join(f"{path} {text}" for path, _, _, text in found)))
@@ -224,23 +227,25 @@ def style_importance(pages: DataFrame, url: str = "url", html: str = "html") ->
         total.alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn")
     )
     shape = shape.select("host", "parent", F.when(F.col("m") > 1, (F.ln("m") - F.col("nlogn") / F.col("m")) / F.ln("m")).otherwise(1.0).alias("presentation"))
-    leaf = counted.where("kind = 'content'").groupBy("host", "path", "parent").agg(F.max("n").alias("most"), total.alias("m"), F.avg(F.ln("n")).alias("logn"))
+    article = (F.col("kind") == "article").alias("article")
+    leaf = counted.where("kind != 'shape'").groupBy("host", "path", "parent", article).agg(total.alias("m"), F.avg(F.ln("n")).alias("logn"))
+    leaf = leaf.withColumn("m", F.col("m") + F.when(F.col("article"), F.lit(float(ARTICLE_PRIOR))).otherwise(0.0))
     content = F.when(F.col("m") > 1, 1 - F.col("logn") / F.ln("m")).otherwise(1.0)
     joined = leaf.withColumn("content", content).join(shape, ["host", "parent"], "left")
     composite = (1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(0.0)) + CONTENT_WEIGHT * F.col("content")
-    return joined.select("host", "path", composite.alias("importance"))
+    return joined.select("host", "path", "article", composite.alias("importance"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW, keep: list[str] | None = None) -> DataFrame:
     """Append main text and n_chars (code points) to pages.
 
-    Kept are blocks inside article or main elements and blocks of styles whose importance is
-    at least `low`; blocks are joined in page order by line feeds. A text seen on one page of
+    Kept are blocks of styles whose importance is at least `low`, or ARTICLE_LOW inside article
+    or main elements, whose blocks all stay where nothing else would; blocks are joined in page order by line feeds. A text seen on one page of
     a host, or on copies of one page, has full importance, so a host with one page loses only noise elements. Null html
     counts as empty and gives an empty text; null urls share the host with the empty name;
     an empty table gives an empty table; columns with the names of new ones are replaced.
     """
-    styles = materialize(style_importance(pages, url, html).where(F.col("importance") < low).select("host", "path"), "low-styles")
+    styles = materialize(style_importance(pages, url, html).where(F.col("importance") < F.when(F.col("article"), min(ARTICLE_LOW, low)).otherwise(low)).select("host", "path"), "low-styles")
     per_host = styles.groupBy(F.col("host").alias("__h")).agg(F.collect_set("path").alias("__low"))
     source = pages.withColumns({"__host": host_of(url), "__html": text_of(html)})
     if styles.count() <= BROADCAST_STYLES:
@@ -255,7 +260,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float =
             texts = []
             for body, low_paths in zip(bodies, lows, strict=True):
                 low_paths = frozenset(low_paths or ())
-                texts.append("\n".join(t for path, _, content, t in blocks(body)[0] if content or path not in low_paths))
+                found = blocks(body)[0]
+                kept = [t for path, _, _, t in found if path not in low_paths] or [t for _, _, content, t in found if content]
+                texts.append("\n".join(kept))
             return [texts, [len(t) for t in texts]]
 
         return work

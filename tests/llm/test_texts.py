@@ -123,6 +123,18 @@ def test_copies_of_a_page_count_once(spark):
     assert {r.text for r in html_text.extract(pages).collect()} == {"\n".join(f"Paragraph {j}" for j in range(5)), "Only text"}
 
 
+def test_repeated_branches_inside_articles_go(spark):
+    def body(i):
+        return f"<article><h1>Head {i}</h1><p>Own text {i * 7919}</p><div class='more'>Read also our best stories</div><p class='end'>Subscribe now</p></article>"
+
+    rows = [(i, f"http://site.example/{i}", body(i)) for i in range(30)] + [(i, f"http://few.example/{i}", body(i)) for i in range(100, 103)]
+    rows += [(i, f"http://same.example/{i}", f"<main><p>Same text</p></main><div>Outside {i % 2}</div>") for i in range(200, 240)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[i] == f"Head {i}\nOwn text {i * 7919}" for i in range(30))
+    assert all(got[i].endswith("Subscribe now") for i in range(100, 103)) and all("Same text" in got[i] for i in range(200, 240))
+
+
 # ---- urls
 
 
