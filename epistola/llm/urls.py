@@ -13,8 +13,8 @@ from epistola.llm.common import materialize
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?https?://([^/?#"'\s>]+)"""
-#: Share of a score that each link step passes on, steps, and the distrust from which a host is blocked.
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+#: Share of a score that each link step passes on, steps, and the distrust or leaning from which a host is blocked.
 DAMPING, STEPS, LIMIT = 0.85, 10, 0.5
 STEPS_PER_WRITE = 5
 
@@ -46,26 +46,32 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust after `steps` of personalised PageRank.
+    """host, trust, distrust, leaning after `steps` of personalised PageRank.
 
     Trust starts at seeds(host, allowed) and follows links, a host's share split over its
     outgoing links; distrust starts at seeds(host, blocked) and goes against them, split over
-    incoming links. A score is its seed plus the damped sum that arrives.
+    incoming links. Leaning starts there too and goes against links, but a host takes it by the
+    share of its own outgoing links, so it does not shrink with the number of hosts that link
+    to the same one. A score is its seed plus the damped sum that arrives.
     """
     out = edges.groupBy(F.col("from").alias("f")).agg(F.sum("n").alias("total"))
     into = edges.groupBy(F.col("to").alias("t")).agg(F.sum("n").alias("total"))
-    forward = edges.join(out, F.col("from") == F.col("f")).select(F.col("from").alias("source"), F.col("to").alias("host"), (F.col("n") / F.col("total")).alias("trusts"), F.lit(0.0).alias("doubts"))
-    backward = edges.join(into, F.col("to") == F.col("t")).select(F.col("to").alias("source"), F.col("from").alias("host"), F.lit(0.0).alias("trusts"), (F.col("n") / F.col("total")).alias("doubts"))
-    moves = materialize(forward.unionByName(backward).groupBy("source", "host").agg(F.sum("trusts").alias("trusts"), F.sum("doubts").alias("doubts")), "moves")
-    start = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"))
+    both = edges.join(out, F.col("from") == F.col("f")).select("from", "to", "n", (F.col("n") / F.col("total")).alias("part"))
+    both = both.join(into, F.col("to") == F.col("t")).select("from", "to", "part", (F.col("n") / F.col("total")).alias("doubt"))
+    none = F.lit(0.0)
+    forward = both.select(F.col("from").alias("source"), F.col("to").alias("host"), F.col("part").alias("trusts"), none.alias("doubts"), none.alias("leans"))
+    backward = both.select(F.col("to").alias("source"), F.col("from").alias("host"), none.alias("trusts"), F.col("doubt").alias("doubts"), F.col("part").alias("leans"))
+    moves = forward.unionByName(backward).groupBy("source", "host").agg(*[F.sum(c).alias(c) for c in ("trusts", "doubts", "leans")])
+    moves = materialize(moves, "moves")
+    start = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"), F.col("blocked").alias("leaning"))
     if moves.isEmpty():
         return start
     scores = start
     for step in range(1, steps + 1):
         sent = moves.join(scores.withColumnRenamed("host", "source"), "source").select(
-            "host", (F.col("trusts") * F.col("trust") * damping).alias("trust"), (F.col("doubts") * F.col("distrust") * damping).alias("distrust")
+            "host", *[(F.col(w) * F.col(c) * damping).alias(c) for w, c in (("trusts", "trust"), ("doubts", "distrust"), ("leans", "leaning"))]
         )
-        scores = start.unionByName(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        scores = start.unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "leaning")])
         if step % STEPS_PER_WRITE == 0:
             scores = materialize(scores, "scores")
     return scores
@@ -75,8 +81,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, key: str =
     """key, host, path, rule, verdict, trust, distrust per page.
 
     The longest rule that fits decides. Otherwise the host does: seeds are the shares of a
-    host's pages that rules allow and block, spread over the links; a host is blocked when its
-    distrust is at least `limit` and above its trust. Null urls and urls without :// have
+    host's pages that rules allow and block, spread over the links; a host is blocked when the
+    greater of its distrust (it gives much of what blocked hosts are linked by) and its leaning
+    (much of its links lead to them) is at least `limit` and above its trust. Null urls and urls without :// have
     empty host and path and no score of a host, so they are allowed; null html has no links;
     repeated rows each get their row; an empty table gives an empty table.
     """
@@ -86,7 +93,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, key: str =
     share = lambda verdict: F.avg(F.when(F.col("verdict") == verdict, 1.0).otherwise(0.0))
     seeds = rows.where("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     scores = spread(links(pages, url, html), seeds)
-    blocked = (F.coalesce("distrust", F.lit(0.0)) >= limit) & (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)))
+    doubt = F.coalesce(F.greatest("distrust", "leaning"), F.lit(0.0))
+    blocked = (doubt >= limit) & (doubt > F.coalesce("trust", F.lit(0.0)))
     return rows.join(scores, "host", "left").select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust"
     )

@@ -181,6 +181,13 @@ def test_links_carry_distrust(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_farms_of_one_blocked_host_are_blocked(spark):
+    rows = [(0, "http://bad.com/en/1", "")] + [(i, f"http://farm{i}.info/", f"<a href='//Bad.com/{i}'>x</a>") for i in range(1, 11)]
+    rows += [(20, "http://second.info/", "<a href=//farm1.info/>x</a>"), (21, "http://blog.info/", "<a href='http://bad.com/'>x</a>" + "".join(f"<a href='http://other{i}.info/'>y</a>" for i in range(9)))]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(11), "block"), 20: "block", 21: "allow"}
+
+
 # ---- personal data
 
 
