@@ -428,7 +428,7 @@ def divergence_filter(spark, t):
 
 @query
 def kmeans_silhouette(spark, t):
-    return vectors.clusters(t("embeddings"), most=4)
+    return vectors.clusters(t("embeddings"))
 
 
 def _sourced(t):

@@ -147,3 +147,12 @@ def test_plans(spark):
     assert got["Payments"].confidence > got["Others"].confidence and "payment of the bills" in got["Payments"].evidence
     asked = classify.prompt(spark.createDataFrame([("text",)], "text string"), edges, "category").first().prompt
     assert "- Others\n- Payments" in asked
+
+
+def test_the_silhouette_query_tries_more_than_four_clusters(spark, tmp_path):
+    from epistola import catalog
+
+    rows = [(i, [20.0 * (i % 6 == a) + 0.01 * (i // 6 % 5) for a in range(6)]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in catalog.QUERIES["kmeans_silhouette"](spark, str(tmp_path)).collect()}
+    assert len(set(got.values())) > 4
