@@ -63,35 +63,40 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """A column name that begins with `name` and is none of `taken` (whatever their case)."""
+    used = {t.lower() for t in taken}
+    return next(n for n in (name + "_" * i for i in range(len(used) + 1)) if n.lower() not in used)
+
+
 def map_rows(
     df: DataFrame,
-    inputs: Sequence[str],
+    inputs: Sequence[str | Column],
     new: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[..., Sequence[Sequence]]],
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Append columns computed from whole Arrow columns.
 
-    make() runs once per task and gives a function from the input columns (Python lists)
-    to the new columns (lists). keep names the columns of df that stay, all by default;
-    a kept column with the name of a new one gives way to the new one.
+    make() runs once per task and gives a function from the inputs (names or expressions, as
+    Python lists) to the new columns (lists). keep names the columns of df that stay, all by
+    default; a kept column with the name of a new one gives way to the new one.
     """
     tune(df.sparkSession)
     names = [n for n, _ in new]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    alias = [f"__in{i}" for i in range(len(inputs))]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, alias, strict=True)])
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new])
+    values = [F.col(f"`{c}`") if isinstance(c, str) else c for c in inputs]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(fresh(f"__in{i}", kept)) for i, v in enumerate(values)])
+    schema = T.StructType([*source.schema.fields[: len(kept)], *[T.StructField(n, t) for n, t in new]])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = [to_arrow_type(t) for _, t in new]
+    arrow, n = [to_arrow_type(t) for _, t in new], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            made = work(*[batch.column(batch.schema.get_field_index(a)).to_pylist() for a in alias])
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array(values, type=t) for values, t in zip(made, arrow, strict=True)]
+            made = work(*[c.to_pylist() for c in batch.columns[n:]])
+            columns = batch.columns[:n] + [pa.array(values, type=t) for values, t in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=kept + names)
 
     return source.mapInArrow(run, schema)

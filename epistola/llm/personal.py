@@ -360,5 +360,4 @@ def find(docs: DataFrame, labelled: DataFrame, text: str = "text", keep: list[st
 
         return work
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new}]
-    return map_rows(docs.withColumn("__text", text_of(text)), ["__text"], new, make, keep)
+    return map_rows(docs, [text_of(text)], new, make, keep)

@@ -225,6 +225,4 @@ def count_edited(docs: DataFrame, ranks_file: str, pattern: str, text: str = "te
 
         return work
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new}]
-    source = docs.withColumns({"__text": text_of(text), "__edits": F.col(edits)})
-    return map_rows(source, ["__text", "__edits"], new, make, keep)
+    return map_rows(docs, [text_of(text), F.col(f"`{edits}`")], new, make, keep)
