@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from epistola.functions.similarity import jaccard, text_similarity
 from epistola.functions.text import key_words
+from epistola.operators.fuzzy import close_pairs
+
+#: Ratio above which ids count as alike (fixed value).
+NEAR_ID = 0.8
 
 
 def score(new: str, old: str, sequence: bool = True) -> dict[str, Column]:
@@ -39,10 +43,9 @@ def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 7
 
     Letters of one id are duplicates whatever else, so each is paired with the first of them
     and not with all. Date, subject and body give at most 60 points, so a pair needs equal ids or, by their
-    sequence ratio, ids that are over 0.8 alike. The first is an equi-join; the second is
-    decided on pairs of distinct ids that share three characters in a row, which ids of ten
-    and more characters that are so much alike always do. Without `sequence` only key-word
-    overlap is used, all in the JVM.
+    sequence ratio, ids that are over 0.8 alike. The first is an equi-join; the second compares
+    the distinct ids of a block that share enough characters (close_pairs), whatever their
+    length. Without `sequence` only equal ids and key-word overlap count, all in the JVM.
     """
     words = letters.withColumns({"subject__words": key_words(F.col("subject")), "body__words": key_words(F.col("body"))})
     ids = words.where("trim(letter_id) != ''").select(*block, "id", F.trim("letter_id").alias("k"))
@@ -50,13 +53,12 @@ def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 7
     first = ids.groupBy(*block, "k").agg(F.min("id").alias("other"))
     pairs = ids.join(first, [*block, "k"]).where("other < id").select("id", "other")
     if sequence:
-        names = ids.select(*block, "k").distinct()
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("k") - 2, F.lit(1))), lambda i: F.substring(F.lower("k"), i, 3)))
-        left = names.select(*block, "k", F.explode(grams).alias("g"))
-        near = left.join(left.withColumnRenamed("k", "k2"), [*block, "g"]).where("k < k2 and 3 * length(k) >= 2 * length(k2) and 3 * length(k2) >= 2 * length(k)")
-        near = near.select(*block, "k", "k2").distinct().where(text_similarity(F.col("k"), F.col("k2")) > 0.8)
-        both = near.union(near.select(*block, F.col("k2").alias("k"), F.col("k").alias("k2")))
-        pairs = pairs.union(ids.join(both, [*block, "k"]).join(other, [*block, "k2"]).where("other < id").select("id", "other")).distinct()
+        # a pair of ids is new against old, and the ratio depends on which is which
+        names = ids.select(*block, F.lower("k").alias("a")).distinct()
+        near = close_pairs(names, names.withColumnRenamed("a", "b"), NEAR_ID, block).where(F.col("ratio") > NEAR_ID).withColumnRenamed("ratio", "near")
+        close = ids.withColumn("a", F.lower("k")).join(near, [*block, "a"]).join(other.withColumn("b", F.lower("k2")), [*block, "b"]).where("other < id and k != k2")
+        # with all points for date, subject and body
+        pairs = pairs.union(close.where(F.col("near") * 40 + 60 >= least).select("id", "other"))
     left = words.select(*[F.col(c).alias(f"n_{c}") for c in words.columns])
     right = words.select(*[F.col(c).alias(f"o_{c}") for c in words.columns])
     joined = pairs.join(left, pairs["id"] == left["n_id"]).join(right, pairs["other"] == right["o_id"])

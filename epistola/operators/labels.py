@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epistola.functions import domains, similarity, values
 from epistola.functions.text import comma_list
+from epistola.operators.fuzzy import close_pairs
 
 # ---- normalisation
 
@@ -100,13 +101,17 @@ def duplicate_spellings(df: DataFrame, column: str = "issue_type") -> DataFrame:
 
 
 def issue_variations(df: DataFrame, column: str = "issue_type", ratio: float = 0.92) -> DataFrame:
-    """Pairs of distinct issues that differ in case, in signs and spaces, or little, and how; blocked on the first letter of the bare form."""
-    names = df.select(F.col(column).alias("a")).distinct().where("a is not null").withColumn("bare", F.regexp_replace(F.lower("a"), r"[^\p{L}\p{N}]", ""))
-    left = names.withColumn("block", F.left("bare", F.lit(1)))
-    right = left.select(F.col("a").alias("b"), F.col("bare").alias("bare_b"), "block")
-    pairs = left.join(right, "block").where("a < b")
-    how = F.when(F.lower("a") == F.lower("b"), "case").when(F.col("bare") == F.col("bare_b"), "punctuation").when(similarity.sequence_ratio(F.col("a"), F.col("b")) > ratio, "similar")
-    return pairs.withColumn("kind", how).where("kind is not null").select("a", "b", "kind")
+    """Pairs a < b of distinct issues that are equal but for case, but for full stops and commas, or whose lower-cased sequence ratio is above `ratio`."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    names = df.select(F.col(column).alias("a")).distinct().where("a is not null").withColumn("low_a", F.lower("a"))
+    names = names.withColumns({"case_a": bare(F.col("low_a")), "plain_a": bare(F.translate("low_a", ".,", ""))})
+    other = names.select(*[F.col(f"{c}a").alias(f"{c}b") for c in ("", "low_", "case_", "plain_")])
+    lows = names.select(F.col("low_a").alias("a")).distinct()
+    close = close_pairs(lows, lows.withColumnRenamed("a", "b"), ratio).where(F.col("ratio") > ratio).select(F.col("a").alias("low_a"), F.col("b").alias("low_b"))
+    alike = names.join(other, names["plain_a"] == other["plain_b"]).where("a < b")
+    similar = names.join(close, "low_a").join(other, "low_b").where("a < b")
+    how = F.when(F.col("case_a") == F.col("case_b"), "case").when(F.col("plain_a") == F.col("plain_b"), "punctuation").otherwise("similar")
+    return alike.select("a", "b", how.alias("kind")).union(similar.select("a", "b", how.alias("kind"))).distinct()
 
 
 def category_report(named: DataFrame, column: str = "category") -> DataFrame:
@@ -268,7 +273,7 @@ def validate(df: DataFrame, allowed: DataFrame, column: str, cutoff: float = 0.7
     """Append valid, validity (valid, case, corrected, rejected), match_confidence against allowed(column).
 
     Exact, then case-insensitive (0.95, the smallest name of equals), then the closest name
-    from `cutoff` (0.7 or more) on; the last only for the distinct values that the others leave.
+    from `cutoff` on (the larger of equally close ones); the last only for the distinct values that the others leave.
     """
     names = allowed.select(F.col(column).alias("__name")).distinct()
     cased = names.groupBy(F.lower("__name").alias("__low")).agg(F.min("__name").alias("__cased"))
@@ -276,15 +281,9 @@ def validate(df: DataFrame, allowed: DataFrame, column: str, cutoff: float = 0.7
     step = distinct.join(names, F.col("__v") == F.col("__name"), "left").join(cased, F.lower("__v") == F.col("__low"), "left")
     if fuzzy:
         rest = step.where("__name is null and __cased is null and __v is not null")
-        # strings with a ratio of 0.7 or more have two characters in a row in common
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
-        left = rest.select("__v", F.explode(grams(F.col("__v"))).alias("__g"))
-        right = names.select(F.col("__name").alias("__other"), F.explode(grams(F.col("__name"))).alias("__g"))
-        k = cutoff / (2 - cutoff)
-        near_length = (F.length("__v") >= k * F.length("__other")) & (F.length("__other") >= k * F.length("__v"))
-        pairs = left.join(right, "__g").where(near_length).select("__v", "__other").distinct()
-        pairs = pairs.withColumn("__r", similarity.sequence_ratio(F.col("__v"), F.col("__other")))
-        best = pairs.where(F.col("__r") >= cutoff).groupBy("__v").agg(F.max(F.struct("__r", "__other")).alias("__best"))
+        pairs = close_pairs(rest.select(F.col("__v").alias("a")), names.select(F.col("__name").alias("b")).where("b is not null"), cutoff)
+        pairs = pairs.select(F.col("a").alias("__v"), F.col("b").alias("__other"), F.col("ratio").alias("__r"))
+        best = pairs.groupBy("__v").agg(F.max(F.struct("__r", "__other")).alias("__best"))
         step = step.join(best, "__v", "left")
     else:
         step = step.withColumn("__best", F.lit(None).cast("struct<__r:double,__other:string>"))

@@ -172,3 +172,99 @@ def test_duplicate_letters(spark):
     got = {(r.original_id, r.new_id): (r.score, r.detection_method) for r in duplicates.duplicate_letters(letters, ["project"]).collect()}
     assert got[(1, 2)] == (100.0, "letter_id_match") and got[(1, 3)][1] in ("similarity_algorithm", "high_similarity_match") and (1, 4) not in got
     assert set(got) == {(1, 2), (1, 3), (2, 3)}
+
+
+def _words(letters, most):
+    import itertools
+
+    return ["".join(w) for n in range(1, most + 1) for w in itertools.product(letters, repeat=n)]
+
+
+@pytest.mark.parametrize("cutoff", [0.6, 0.7, 0.92])
+def test_close_pairs_lose_none(spark, cutoff):
+    import difflib
+    import random
+
+    from epistola.operators import fuzzy
+
+    r = random.Random(5)
+    names = _words("ab", 5) + ["aXbXc", "abc", "1/23", "1/423", "Utility shifting works", "tility shifting works", "x" * 210 + "y", "x" * 205 + "yz"]
+    names = sorted({*names, *("".join(r.choice("abcd ") for _ in range(r.randrange(1, 14))) for _ in range(120))})
+    left = spark.createDataFrame([(n,) for n in names], "a string")
+    got = {(x.a, x.b): x.ratio for x in fuzzy.close_pairs(left, left.withColumnRenamed("a", "b"), cutoff).collect()}
+    want = {(a, b): q for a in names for b in names if (q := difflib.SequenceMatcher(None, a, b).ratio()) >= cutoff}
+    assert got == want
+
+
+def test_validation_equals_difflib(spark):
+    import difflib
+
+    allowed = [w for w in _words("abc", 4) if sum(map(ord, w)) % 3 == 0]
+    said = [w for w in _words("abcx", 4) if w not in allowed]
+    got = labels.validate(spark.createDataFrame([(w,) for w in said], "issue string"), spark.createDataFrame([(w,) for w in allowed], "issue string"), "issue").collect()
+    for r in got:
+        best = max(((difflib.SequenceMatcher(None, r.issue, w).ratio(), w) for w in allowed))
+        assert (r.valid, r.match_confidence) == ((best[1], best[0]) if best[0] >= 0.7 else (None, 0.0))
+
+
+def test_issue_variations_equal_brute_force(spark):
+    import difflib
+
+    names = ["Delay of the works order", "xDelay of the works order", "delay of the works order", "Delay, of the works order.", " Delay of the works order", "tility shifting works", "Utility shifting works", "Other", "A.B", "AB", "ab ", None]
+    want, known = set(), [n for n in names if n]
+    for a in known:
+        for b in known:
+            if a < b:
+                plain = [x.replace(".", "").replace(",", "").strip().lower() for x in (a, b)]
+                if a.lower().strip() == b.lower().strip():
+                    want.add((a, b, "case"))
+                elif plain[0] == plain[1]:
+                    want.add((a, b, "punctuation"))
+                elif difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() > 0.92:
+                    want.add((a, b, "similar"))
+    got = labels.issue_variations(spark.createDataFrame([(n,) for n in names], "issue_type string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 8
+
+
+def test_duplicate_letters_equal_brute_force(spark):
+    import datetime as dt
+    import difflib
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        key = "".join(r.choice("12/") for _ in range(r.choice([3, 4, 5, 6])))
+        rows.append((i, "pq"[i % 2], r.choice([key, key.upper(), "1/23", "1/423", "AbC1", "abc1"]), dt.date(2024, 1, 1 + r.randrange(3)), r.choice(["Delay in payment", "Delay in payments", "Site access"]), r.choice(["The payment was late", "The payment is late", "No road"])))
+
+    def ratio(a, b):
+        a, b = a.strip().lower(), b.strip().lower()
+        return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
+    def words(s):
+        return set(spark_words[s])
+
+    from epistola.functions.text import key_words
+
+    texts = sorted({x for row in rows for x in row[4:]})
+    spark_words = {x.t: x.w for x in spark.createDataFrame([(x,) for x in texts], "t string").select("t", key_words(F.col("t")).alias("w")).collect()}
+
+    def alike(a, b):
+        x, y = words(a), words(b)
+        return max(ratio(a, b), len(x & y) / len(x | y) if x and y else 0.0)
+
+    want = {}
+    for new in rows:
+        for old in rows:
+            if old[0] < new[0] and old[1] == new[1]:
+                near = 1.0 if new[2] == old[2] else ratio(new[2], old[2])
+                days = abs((new[3] - old[3]).days)
+                score = (near * 40 if near > 0.8 else 0) + (20 if days == 0 else (1 - days / 7) * 20) + alike(new[4], old[4]) * 25 + alike(new[5], old[5]) * 15
+                if new[2] == old[2]:
+                    if old[0] == min(x[0] for x in rows if x[1:3] == new[1:3]):
+                        want[old[0], new[0]] = score
+                elif near > 0.8 and round(score, 4) >= 75:
+                    want[old[0], new[0]] = score
+    letters = spark.createDataFrame(rows, "id long, project string, letter_id string, date_sent date, subject string, body string")
+    got = {(x.original_id, x.new_id): x.score for x in duplicates.duplicate_letters(letters, ["project"]).collect()}
+    assert got.keys() == want.keys() and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-3 for k in want)
