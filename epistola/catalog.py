@@ -475,6 +475,13 @@ def duplicate_letters(spark, t):
     return duplicates.duplicate_letters(_letters(t), ["lang"], sequence=False)
 
 
+@query
+def duplicate_letters_sequence(spark, t):
+    """Ids that differ in a character or two, compared by their sequence ratio too."""
+    letters = _letters(t).withColumn("letter_id", F.expr("regexp_replace(left(md5(subject), 9 + cast(id % 3 as int)), if(id % 5 = 0, '[ab]', 'z'), '')"))
+    return duplicates.duplicate_letters(letters.withColumn("body", F.left("body", F.lit(400))), ["lang"])
+
+
 @query
 def planned_end_date(spark, t):
     day = "CASE o_orderkey % 4 WHEN 0 THEN 'yyyy-MM-dd' WHEN 1 THEN 'dd/MM/yyyy' WHEN 2 THEN 'dd-MM-yyyy' ELSE 'MMM yy' END"
@@ -507,3 +514,11 @@ def flagship_classify(spark, t):
     edges = spark.createDataFrame([(i, c) for i, c in LABELS], "issue_type string, category string").withColumn("n", F.lit(1))
     counts = spark.createDataFrame([(n, 4 * k + 3) for k, (n, _) in enumerate(ISSUES)], "issue_type string, issue_n int")
     return classify.by_rules(t("documents"), ISSUES, edges, counts)
+
+
+# ---- whole jobs and reports, with their SQL beside them
+
+from epistola import catalog_jobs  # noqa: E402
+
+QUERIES |= catalog_jobs.QUERIES
+ORACLES |= catalog_jobs.ORACLES
