@@ -65,7 +65,7 @@ def training_file(spark: SparkSession, patterns: Sequence[str]) -> str | None:
 
 
 def file_facts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, file_name, file_size, modified of a folder's files; contents are not read."""
+    """path, file_name, file_size, modified of a folder's files; contents are not read, files without any are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
 
