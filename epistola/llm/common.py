@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -18,7 +19,12 @@ from epistola.session import share_package
 #: Rows and bytes of one Arrow batch, so that a run of very long texts stays small in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
+#: Marks of rows that are broadcast at most (about 100 bytes each).
+BROADCAST_MARKS = 500_000
+
 _local_dir: list[str] = []
+#: Where the tables lie that this process has written.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +58,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, the work is done once,
-    and a lost executor costs only a reread."""
+    and a lost executor costs only a reread. What is not discarded goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    place, files = _storage(spark, path)
+    files.deleteOnExit(place)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for frame in frames:
+        place, files = _storage(frame.sparkSession, _written.pop(frame))
+        files.delete(place, True)
+
+
+def _storage(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def row_mark(key: str, text: str) -> Column:
+    """16 bytes that tell (key, text) of a row from any other."""
+    name, body = F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")
+    told = F.coalesce(F.concat(F.lit("k"), F.length(name), F.lit(":"), name), F.lit("n"))
+    return F.unhex(F.md5(F.concat(told, F.coalesce(F.concat(F.lit("t"), body), F.lit("n"))).cast("binary")))
+
+
+def keep_marked(docs: DataFrame, decided: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs that stay, by decided(mark, kept): one row for each row of docs, whatever their order.
+
+    Rows of equal key and text stay all, or not, or one of them (the least by its other
+    columns). Only the marks that lose rows are looked up: broadcast up to BROADCAST_MARKS,
+    else by a shuffle of the rows.
+    """
+    stay = F.sum(F.col("kept").cast("long")).alias("stay")
+    lost = materialize(decided.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), stay).where("stay < n").select("mark", "stay"), "lost")
+    mark, left = fresh("mark", docs.columns), fresh("stay", docs.columns)
+    named = lost.select(F.col("mark").alias(mark), F.col("stay").alias(left))
+    if lost.count() <= BROADCAST_MARKS:
+        named = F.broadcast(named)
+    rows = docs.withColumn(mark, row_mark(key, text)).join(named, mark, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = rows.where(F.col(left).isNull()).select(*columns)
+    if lost.where("stay > 0").isEmpty():
+        return whole
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    some = rows.where(F.col(left) > 0).groupBy(mark).agg(F.min_by(F.struct(*columns), F.struct(mark, *ordered)).alias("row"))
+    return whole.unionByName(some.select("row.*"))
 
 
 def text_of(column: str) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epistola.llm.common import materialize, text_of, tune
+from epistola.llm.common import keep_marked, materialize, row_mark, text_of, tune
 
 #: Counters of a Misra-Gries summary; any digest on more than 1 / (COUNTERS + 1) of the rows is among them.
 COUNTERS = 255
@@ -48,28 +48,34 @@ def heavy_hitters(rows: DataFrame, digest: str, k: int = COUNTERS) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
-    """One row per input row: key, keep_id, group_size, kept, text_sha256.
-
-    Null text counts as empty; of equal normalised texts the row with most code points,
-    then smallest key (nulls last) stays. Wholly repeated rows: exactly one of them is kept.
-    An empty table gives an empty table; other columns are ignored.
-    """
+def _decided(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """One row per input row: key, mark, uid, digest, best (struct of the row that stays), group_size."""
     rows = docs.select(
-        F.col(key).alias("key"),
+        F.col(f"`{key}`").alias("key"),
+        row_mark(key, text).alias("mark"),
         F.length(text_of(text)).alias("n_cp"),
         F.unhex(F.sha2(normalized(text).cast("binary"), 256)).alias("digest"),
         F.monotonically_increasing_id().alias("uid"),
     )
     rows = materialize(rows, "digests")
-    best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("key").isNull().alias("none"), "key", "uid")).alias("best")
+    best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("key").isNull().alias("none"), "key", "mark", "uid")).alias("best")
     size = F.count(F.lit(1)).alias("group_size")
     # at most k digests and so at most k winners
     heavy = materialize(rows.join(F.broadcast(heavy_hitters(rows, "digest", k)), "digest").groupBy("digest").agg(best, size), "winners")
     removed = rows.join(F.broadcast(heavy), "digest")
     light = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     shuffled = light.join(light.groupBy("digest").agg(best, size), "digest")
-    return removed.unionByName(shuffled).select(
+    return removed.unionByName(shuffled)
+
+
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
+    """One row per input row: key, keep_id, group_size, kept, text_sha256.
+
+    Null text counts as empty; of equal normalised texts the row with most code points,
+    then smallest key (nulls last), then smallest digest of key and text stays. Wholly repeated
+    rows: exactly one of them is kept. An empty table gives an empty table; other columns are ignored.
+    """
+    return _decided(docs, key, text, k).select(
         F.col("key").alias(key),
         F.col("best.key").alias("keep_id"),
         "group_size",
@@ -79,12 +85,6 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The kept rows with all their columns."""
-    kept = duplicates(docs, key, text, k).where("kept").select(F.col(key).alias("__key"), F.col("text_sha256").alias("__digest"), F.lit(True).alias("__kept"))
-    rows = docs.withColumns({"__sha": F.sha2(normalized(text).cast("binary"), 256), "__n": F.length(text_of(text))})
-    from pyspark.sql import Window
-
-    joined = rows.join(kept, rows[key].eqNullSafe(kept["__key"]) & (rows["__sha"] == kept["__digest"]), "inner")
-    # the same key and normalised text more than once: the longest original, one row
-    first = F.row_number().over(Window.partitionBy(key, "__sha").orderBy(F.desc("__n")))
-    return joined.withColumn("__first", first).where("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that duplicates() keeps, with all their columns; of wholly repeated rows the one that is least in its other columns."""
+    decided = _decided(docs, key, text, k).select("mark", (F.col("uid") == F.col("best.uid")).alias("kept"))
+    return keep_marked(docs, decided, key, text)
