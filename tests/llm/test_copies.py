@@ -72,19 +72,83 @@ def test_join_on_the_test_table(spark, sf):
     assert got == sorted(brute_components(rows))
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_signatures(percent):
     r = np.random.default_rng(2)
-    signer = ngram_join.PartEnum(90)
-    for _ in range(400):
-        size = int(r.integers(10, 600))
+    signer = ngram_join.PartEnum(percent)
+    seen = 0
+    for _ in range(600):
+        size = int(r.integers(4, 600))
         a = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
-        gone = int(r.integers(0, max(1, size // 19) + 1))
-        b = np.unique(np.concatenate([a[r.permutation(len(a))[gone:]], r.integers(0, 2**64, gone, dtype=np.uint64)]))
+        gone = int(r.integers(0, max(1, size * (100 - percent) // 190) + 1))
+        more = int(r.integers(0, gone + 1))
+        b = np.unique(np.concatenate([a[r.permutation(len(a))[gone:]], r.integers(0, 2**64, more, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and both < len(a):
-            assert np.intersect1d(signer.sign(a), signer.sign(b)).size
-            flips = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
-            assert flips <= len(a) + len(b) - 2 * both
+        if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            (x, m), (y, k) = signer.sign(a), signer.sign(b)
+            same = np.intersect1d(x, y)
+            # in some band that both sign for, as many as either set counts on
+            assert any(m[bit] and m[bit] == k[bit] <= (same & 1 == bit).sum() for bit in (0, 1))
+            wide = ngram_join.sketch(a), ngram_join.sketch(b)
+            for words in (8, min(map(len, wide))):
+                flips = sum(int(v).bit_count() for v in (ngram_join.fold(wide[0], words) ^ ngram_join.fold(wide[1], words)).view(np.uint64))
+                assert flips <= len(a) + len(b) - 2 * both
+            seen += 1
+    assert seen > 100
+
+
+def test_many_documents_that_share_a_passage(spark):
+    """Buckets of a common passage, families that are alike but not enough, and chains, at five words and 80 percent."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(16))
+    rows, key = [], 0
+    for family in range(4):
+        base = [f"f{family}w{r.randrange(300)}" for _ in range(r.choice([40, 150]))]
+        for i in range(30):
+            own = list(base)
+            for _ in range(r.choice([1, 2, 6, 12])):
+                own[r.randrange(len(own))] = f"x{key}"
+            rows.append((key, " ".join(own) + " " + passage))
+            key += 1
+    rows += [(key + i, passage + " " + " ".join(f"u{i}n{j}" for j in range(r.choice([1, 8, 60])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join_components(docs, n=5, percent=80).collect())
+    assert got == sorted(brute_components(rows, 5, 80))
+
+
+ODD = "doc_id long, text string, mark string, stay long, n long, kept string, __text string, uid long"
+
+
+def odd_rows():
+    """Null and repeated keys, clashing names, texts that are equal but for white space, wholly repeated rows."""
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (5, "red green blue black white"), (5, "sun moon star sky night day")]
+    rows += [(6, "a b"), (6, "a\tb"), (7, "same text here"), (7, "same text here"), (8, None), (8, ""), (9, "   "), (10, "same text  here")]
+    return [(*x, f"m{i}", i, -i, "k", f"t{i}", i % 3) for i, x in enumerate(rows)]
+
+
+def test_stages_keep_exact_rows(spark):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    near = [tuple(r) for r in ngram_join.keep_one(docs, n=5, percent=80).collect()]
+    # every component keeps its smallest key; documents without words all stay
+    texts = Counter(r[:2] for r in near)
+    assert texts == Counter([r[:2] for r in rows[:4]] + [min(rows[4][:2], rows[5][:2], key=lambda x: hashlib.md5(f"k1:6t{x[1]}".encode()).digest())] + [(7, "same text here")] + [r[:2] for r in rows[8:11]])
+    assert [r for r in near if r[0] == 7] == [rows[6]] and set(near) <= set(rows)
+    exact = [tuple(r) for r in exact_dedup.deduplicate(docs).collect()]
+    assert len(exact) == 7 and set(exact) <= set(rows)
+    assert {r[:2] for r in exact} >= {r[:2] for r in rows[:4]} | {(9, "   "), (10, "same text  here")}
+    for made in (ngram_join.keep_one(docs.limit(0)), exact_dedup.deduplicate(docs.limit(0))):
+        assert made.columns == docs.columns and made.count() == 0
+
+
+def test_repeated_rows_keep_one(spark, monkeypatch):
+    rows = [(1, "a b c d e f")] * 5 + [(2, "g h i j k l")] * 3 + [(3, "g h i j k l")]
+    for bound in (0, 500_000):
+        monkeypatch.setattr("epistola.llm.common.BROADCAST_MARKS", bound)
+        monkeypatch.setattr("epistola.llm.ngram_join.BROADCAST_KEYS", bound)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for made in (ngram_join.keep_one(docs), exact_dedup.deduplicate(docs)):
+            assert sorted(map(tuple, made.collect())) == [(1, "a b c d e f"), (2, "g h i j k l")]
 
 
 def test_empty_and_keep_one(spark):
