@@ -56,8 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows without spans_sha256, which stays in what that stage wrote."""
+    """The last stage's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
-    return docs.drop("spans_sha256")
+    return docs
