@@ -3,7 +3,7 @@
 Indicators are word unigrams and bigrams, and 1- to 5-grams of word shapes in which a word
 that repeats the one before it has a sign of its own. Each indicator is scaled by the
 log-count ratio of the two classes, each of the two groups of indicators to unit length, and
-a linear hinge-loss model is fitted by dual coordinate descent; a logistic curve fitted on
+a linear model of squared hinge loss is fitted by dual coordinate descent; a logistic curve fitted on
 rows left out of that fit turns margins into scores.
 """
 
@@ -44,7 +44,7 @@ def shape(word: str) -> str:
     out = _RUNS[0][0].sub(letters, word)
     for pattern, to in _RUNS[1:]:
         out = pattern.sub(to, out)
-    return out[:12]
+    return out
 
 
 class _Codes(dict):
@@ -183,12 +183,13 @@ def held_out(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> tuple[np.ndarray, float, float]:
     """Fit on at most sample_rows labelled rows outside the held-out fold; one task fits, the weights come back.
 
-    Rows without key or label are no training rows; a key labelled twice counts once with its larger label.
+    Rows without key or label are no training rows; a key labelled twice counts once with its larger label, a key of several documents with its smallest text.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     chosen = usable.groupBy(F.col(key).alias("__key")).agg((F.max(label) > 0).cast("int").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
-    # at most sample_rows keys
+    # at most sample_rows keys; of a repeated key the smallest text counts, so that one key is one row
     rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    rows = rows.groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
 
     def extract():
         return lambda texts: [[_both(t).astype("<i4").tobytes() for t in texts]]
