@@ -88,8 +88,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def features(word: str) -> tuple[int, ...]:
     """SLOTS hashed features of a word: shape, digit groups, cue, digit count, signs."""
     core = word.strip(_EDGE)
-    shape = re.sub(r"\d+", "9", _LETTERS.sub("x", core))[:16]
-    groups = re.sub(r"\d+", lambda m: str(min(len(m[0]), 20)), _LETTERS.sub("x", core))[:20] if any(c.isdigit() for c in core) else ""
+    shape = re.sub(r"\d+", "9", _LETTERS.sub("x", core))
+    groups = re.sub(r"\d+", lambda m: str(len(m[0])), _LETTERS.sub("x", core)) if any(c.isdigit() for c in core) else ""
     bare = core.strip("[](){}.").lower()
     cue = bare if bare in CUES else ""
     n = sum(c.isdigit() for c in core)
