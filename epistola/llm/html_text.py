@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +101,7 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
     stack = [_Node("", 0, False, False)]
     text: list[str] = []
     quiet = 0  # open noise elements
+    opened: Counter[str] = Counter()  # open elements by tag, so that what is not open is not looked for
 
     def flush() -> None:
         if text:
@@ -115,7 +117,9 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
         nonlocal quiet
         flush()
         while len(stack) > depth:
-            quiet -= stack.pop().noise
+            gone = stack.pop()
+            quiet -= gone.noise
+            opened[gone.tag] -= 1
 
     def leave_head() -> None:
         while stack[-1].tag == "head":
@@ -146,25 +150,23 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
                 text.append(" ")
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth)
-                    break
-            else:
+            if not opened[tag]:
                 flush()
+                continue
+            pop_to(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].tag == tag))
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else size
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     pop_to(depth)
                     break
                 if stack[depth].tag in SCOPES:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(opened[t] for t in ENDS[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in ENDS[tag]:
                     pop_to(depth)
@@ -180,6 +182,7 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
         parent.children.append(name)
         node = _Node(tag, _code(f"{parent.path}>{name}"), noise, (parent.content or tag in CONTENT) and not noise)
         stack.append(node)
+        opened[tag] += 1
         nodes[node.path] = node
         quiet += noise
         if attributes.endswith("/"):
