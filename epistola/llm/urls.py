@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epistola.llm.common import materialize
+from epistola.llm.common import discard, materialize
 
 #: (verdict, host and path) of the query's rules (fixed values).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-#: Share of a score that each link step passes on, steps, and the distrust or leaning from which a host is blocked.
-DAMPING, STEPS, LIMIT = 0.85, 10, 0.5
+#: Where a link begins, and its host in what follows up to the next one, so that the time grows with the text.
+_ANCHOR = r"(?i)<a\s"
+_LINK = r"""(?i)^(?:[^>]*?\s)?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+#: Share of a score that each link step passes on, the change at which the steps end and their most, and the distrust or leaning from which a host is blocked.
+DAMPING, TOLERANCE, STEPS, LIMIT = 0.85, 1e-5, 200, 0.5
 STEPS_PER_WRITE = 5
 
 
@@ -39,14 +41,16 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """from, to, n: links between different hosts, counted."""
-    found = pages.select(host_of(url).alias("from"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(_LINK), F.lit(1))).alias("name"))
+    """from, to, n: absolute and protocol-relative links between different hosts, counted (relative ones stay on their host)."""
+    pieces = F.split(F.coalesce(F.col(html), F.lit("")), _ANCHOR)
+    after = pages.where(F.contains(F.col(html), F.lit("//"))).select(host_of(url).alias("from"), F.explode(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("piece"))
+    found = after.select("from", F.regexp_extract("piece", _LINK, 1).alias("name"))
     named = found.select("from", F.translate(F.regexp_replace("name", "^[^@]*@", ""), UPPER, LOWER).alias("to"))
     return named.where("`from` != '' and `to` != '' and `from` != `to`").groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust, leaning after `steps` of personalised PageRank.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust, leaning of personalised PageRank: until no score changes by `tolerance` between two writes, or after `steps`.
 
     Trust starts at seeds(host, allowed) and follows links, a host's share split over its
     outgoing links; distrust starts at seeds(host, blocked) and goes against them, split over
@@ -66,14 +70,23 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
     start = seeds.select("host", F.col("allowed").alias("trust"), F.col("blocked").alias("distrust"), F.col("blocked").alias("leaning"))
     if moves.isEmpty():
         return start
-    scores = start
+    kinds = ("trust", "distrust", "leaning")
+    scores = before = start
     for step in range(1, steps + 1):
         sent = moves.join(scores.withColumnRenamed("host", "source"), "source").select(
             "host", *[(F.col(w) * F.col(c) * damping).alias(c) for w, c in (("trusts", "trust"), ("doubts", "distrust"), ("leans", "leaning"))]
         )
-        scores = start.unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "leaning")])
+        scores = start.unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in kinds])
         if step % STEPS_PER_WRITE == 0:
             scores = materialize(scores, "scores")
+            old = before.select("host", *[F.col(c).alias(f"old_{c}") for c in kinds])
+            change = F.greatest(*[F.abs(F.col(c) - F.coalesce(f"old_{c}", F.lit(0.0))) for c in kinds])
+            moved = scores.join(old, "host", "left").agg(F.max(change)).head()[0]
+            if before is not start:
+                discard(before)
+            before = scores
+            if moved is None or moved < tolerance:
+                break
     return scores
 
 
