@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epistola.llm.common import map_rows, text_of
+from epistola.llm.common import discard, fresh, map_rows, materialize, text_of
 
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass (about 140 bytes of tables each); a larger benchmark takes several passes.
 PASS_BYTES = 2 << 20
+#: Passes that one table of hits comes from, and documents with hits of later passes that are broadcast at most.
+PASSES_PER_WRITE, BROADCAST_HITS = 16, 50_000
 #: Words after A-Z are lower-cased: runs of digits, a-z and characters from U+0080 on (fixed values).
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -118,18 +121,45 @@ def _matcher(items: tuple) -> Matcher:
     return _matchers[items]
 
 
-def _passes(benchmark: DataFrame, item: str, text: str, pass_bytes: int) -> Iterator[tuple[tuple[tuple[str, str], ...], bool]]:
-    """The items in passes of at most pass_bytes (or one item) and whether a pass is the last; the driver holds two at a time."""
+def _passes(benchmark: DataFrame, item: str, text: str, pass_bytes: int) -> Iterator[tuple[tuple[str, str], ...]]:
+    """The items in passes of at most pass_bytes (or one item); the driver holds one at a time."""
     made: list[tuple[str, str]] = []
     room = pass_bytes
     for row in benchmark.select(F.col(item).cast("string"), text_of(text)).toLocalIterator():
         size = len(row[1].encode()) + 64
         if made and size > room:
-            yield tuple(made), False
+            yield tuple(made)
             made, room = [], pass_bytes
         made.append((row[0], row[1]))
         room -= size
-    yield tuple(made), True
+    yield tuple(made)
+
+
+_FOUND = [("n_words", T.LongType()), ("hit_runs", _RUNS), ("hit_items", T.ArrayType(T.StringType()))]
+
+
+def _one_pass(docs: DataFrame, text: str, items: tuple, keep: list[str]) -> DataFrame:
+    """docs with n_words, hit_runs and hit_items of one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def make():
+        def work(texts):
+            found = [_matcher(shared.value).match(t) for t in texts]
+            return (
+                [n for n, _, _ in found],
+                [[{"start": a, "end": b} for a, b in runs] for _, runs, _ in found],
+                [sorted(i for i in items if i is not None) for _, _, items in found],
+            )
+
+        return work
+
+    return map_rows(docs, [text_of(text)], _FOUND, make, keep)
+
+
+def _joined(runs, items, more_runs, more_items) -> tuple[list, list]:
+    """Runs and items of a first pass and of the others together."""
+    all_runs = [[{"start": a, "end": b} for a, b in merge((r["start"], r["end"]) for r in [*x, *(y or ())])] for x, y in zip(runs, more_runs, strict=True)]
+    return all_runs, [sorted({*x, *(y or ())}) for x, y in zip(items, more_items, strict=True)]
 
 
 def find(
@@ -139,36 +169,36 @@ def find(
 
     A window is 13 consecutive item words (an item of fewer is one window); a document word
     inside an occurrence is hit; contaminated when n_hit > 0 and 20 * n_hit >= n_words.
-    Null and empty texts have no words; empty items never match; a benchmark above
-    pass_bytes is searched in several passes whose runs and items are joined in the row, so
-    no pass holds more. Columns of docs with the names of new ones are replaced.
+    Null and empty texts have no words; empty items never match; an item without id hits
+    words but is not among the items. A benchmark above pass_bytes is searched in several
+    passes; each is a set of tasks of its own, so that no worker holds more than one pass, and
+    what the later ones hit is joined to the documents. Columns of docs with the names of new
+    ones are replaced.
     """
-    new = [("n_words", T.LongType()), ("hit_runs", _RUNS), ("hit_items", T.ArrayType(T.StringType()))]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in new} | {"n_hit", "n_items", "contaminated"}]
-    sc = docs.sparkSession.sparkContext
-    out = docs.withColumn("__text", text_of(text)).drop(*[n for n, _ in new])
-    for number, (items, last) in enumerate(_passes(benchmark, item, item_text, pass_bytes)):
-        shared = sc.broadcast(items)
-
-        def make(shared=shared, more=number > 0):
-            def work(texts, *before):
-                match = _matcher(shared.value).match
-                found = [match(t) for t in texts]
-                if more:
-                    found = [
-                        (n, merge(runs + [(r["start"], r["end"]) for r in old]), items | set(names)) for (n, runs, items), old, names in zip(found, *before, strict=True)
-                    ]
-                return (
-                    [n for n, _, _ in found],
-                    [[{"start": a, "end": b} for a, b in runs] for _, runs, _ in found],
-                    [sorted(i for i in items if i is not None) for _, _, items in found],
-                )
-
-            return work
-
-        inputs = ["__text", "hit_runs", "hit_items"] if number else ["__text"]
-        stay = keep if last else [*keep, "__text"]
-        out = map_rows(out, inputs, new, make, stay)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in _FOUND} | {"n_hit", "n_items", "contaminated"}]
+    mark = fresh("mark", docs.columns)
+    passes = _passes(benchmark, item, item_text, pass_bytes)
+    first = next(passes)
+    bodies = docs.select(F.md5(text_of(text).cast("binary")).alias("mark"), text_of(text).alias("text"))
+    hits, waiting = [], []
+    for items in passes:
+        waiting.append(_one_pass(bodies, "text", items, ["mark"]).drop("n_words").where("size(hit_runs) > 0").distinct())
+        if len(waiting) == PASSES_PER_WRITE:
+            hits.append(materialize(reduce(DataFrame.unionByName, waiting), "hits"))
+            waiting = []
+    if waiting:
+        hits.append(materialize(reduce(DataFrame.unionByName, waiting), "hits"))
+    if hits:
+        runs, names = F.flatten(F.collect_list("hit_runs")).alias("runs"), F.flatten(F.collect_list("hit_items")).alias("names")
+        more = materialize(reduce(DataFrame.unionByName, hits).groupBy("mark").agg(runs, names), "hits")
+        discard(*hits)
+        columns = [fresh(c, [*docs.columns, mark]) for c in ("runs", "names")]
+        more = more.select(F.col("mark").alias(mark), *[F.col(c).alias(n) for c, n in zip(("runs", "names"), columns, strict=True)])
+        base = _one_pass(docs.withColumn(mark, F.md5(text_of(text).cast("binary"))), text, first, [*keep, mark])
+        joined = base.join(F.broadcast(more) if more.count() <= BROADCAST_HITS else more, mark, "left")
+        out = map_rows(joined, ["hit_runs", "hit_items", *columns], _FOUND[1:], lambda: _joined, [*keep, "n_words"])
+    else:
+        out = _one_pass(docs, text, first, keep)
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
     return out.withColumn("n_hit", n_hit).withColumns(
         {"n_items": F.size("hit_items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))}
