@@ -476,6 +476,7 @@ WITH base AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 every AS (SELECT * FROM base UNION ALL SELECT vec_id + 1000000000, list_transform(v, lambda x, i: x * (1 + ((i - 1) % 7 - 3) * 0.05::DOUBLE)) FROM base),
 named AS (SELECT min(vec_id) AS id, v FROM every GROUP BY v)
 SELECT a.id AS a, b.id AS b, round_even(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM named a JOIN named b ON a.id < b.id WHERE round_even(list_cosine_similarity(a.v, b.v), 6) >= 0.95
+UNION ALL SELECT id, vec_id, 1.0 FROM every JOIN named USING (v) WHERE vec_id <> id
 """
 
 

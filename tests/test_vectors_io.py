@@ -34,15 +34,19 @@ def test_top_k_equals_brute_force(points, pass_bytes):
         assert sorted(got[q]) == [(n, i) for n, (_, i) in enumerate(best, 1)]
 
 
-def test_near_duplicates_equal_brute_force(points, spark):
+@pytest.mark.parametrize("block", [7, 2048])
+def test_near_duplicates_equal_brute_force(points, spark, block):
     rows, _ = points
     r = np.random.default_rng(2)
     rows = rows[:200] + [(1000 + i, [x + float(r.normal(scale=0.05)) for x in v]) for i, v in rows[:60]]
     m = np.array([v for _, v in rows])
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if round(float(u[i] @ u[j]), 6) >= 0.9}
-    got = {(x.a, x.b) for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
-    assert got == want and len(want) > 30
+    # copies, of which only the first is compared, and vectors without direction
+    copies = [(3000 + i, rows[i % 3][1]) for i in range(9)] + [(4000, [0.0] * 8), (4001, [0.0] * 8), (4002, None)]
+    want |= {(rows[i % 3][0], 3000 + i) for i in range(9)}
+    got = [(x.a, x.b) for x in vectors.near_duplicates(spark.createDataFrame(rows + copies, "vec_id long, embedding array<double>"), 0.9, block=block).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 30
 
 
 def test_empty_vectors(spark):
