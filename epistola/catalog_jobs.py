@@ -154,13 +154,13 @@ def overall_confidence(spark, t):
 
 
 @query("""
-SELECT doc_id, round_even(greatest(coalesce(max(c), 0.0), 0.0), 6) AS confidence FROM (
+SELECT doc_id, greatest(coalesce(max(c), 0.0), 0.0) AS confidence FROM (
   SELECT l_orderkey AS doc_id, l_discount::DOUBLE AS c FROM lineitem UNION ALL SELECT o_orderkey, (o_totalprice::DOUBLE - 150000) / 1000000 FROM orders) GROUP BY ALL
 """)
 def result_confidence(spark, t):
     categories = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_discount").cast("double").alias("confidence"))
     issues = t("orders").select(F.col("o_orderkey").alias("doc_id"), ((F.col("o_totalprice").cast("double") - 150000) / 1000000).alias("confidence"))
-    return jobs.result_confidence(categories, issues).withColumn("confidence", F.bround("confidence", 6))
+    return jobs.result_confidence(categories, issues)
 
 
 def _judged(t):
@@ -342,12 +342,12 @@ def ensemble(spark, t):
 
 
 @query("""
-SELECT o_orderkey AS doc_id, o_orderpriority AS category, round_even(o_totalprice::DOUBLE / 1000000 * CASE WHEN o_orderkey % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0 END, 6) AS confidence FROM orders
+SELECT o_orderkey AS doc_id, o_orderpriority AS category, o_totalprice::DOUBLE / 1000000 * CASE WHEN o_orderkey % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0 END AS confidence FROM orders
 """)
 def reweight(spark, t):
     rows = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("category"), (F.col("o_totalprice").cast("double") / 1000000).alias("confidence"))
     said = t("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("category"), F.lit(0.5).alias("accuracy"))
-    return search.reweight(rows, said).select("doc_id", "category", F.bround("confidence", 6).alias("confidence"))
+    return search.reweight(rows, said).select("doc_id", "category", "confidence")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 30 > 20 THEN 'pure_llm' WHEN o_orderstatus = 'P' THEN 'google_docai' WHEN o_orderpriority = '1-URGENT' THEN 'ensemble' WHEN o_custkey % 2 = 1 THEN 'open_source' ELSE 'hybrid' END AS approach FROM orders")
