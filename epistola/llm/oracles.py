@@ -55,4 +55,62 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, (count(*) OVER (PARTITION
 FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
-ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8}
+
+
+def _after(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    lines = f"list_append({state}.l, {line})" if line else f"{state}.l"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'l': {lines}}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_USER = _least("f.u", *[_after(f"f.{s}", "5", "I", "'user:'") for s in "nsa"])
+_ASSISTANT = _least("f.a", _after("f.u", "5", "I", "'assistant:'"), *[_after(_after(f"f.{s}", "5", "I", "'user:'"), "5", "I", "'assistant:'") for s in "ns"])
+_NONE = "{'c': 1000000000, 'a': '', 'l': []::VARCHAR[]}"
+
+OP11 = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c
+    FROM range(256) r(i))
+), coded AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'),
+             lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) % 20 AS code
+  FROM conversations, tab
+), damaged AS (
+  SELECT cid, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS time
+  FROM coded WHERE code > 0
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER w AS pos, lag(left(role, 1)) OVER w AS before, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS said,
+         row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, time) > 1 AS again
+  FROM damaged WINDOW w AS (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, time)
+), marked AS (
+  SELECT *, said = '' AS blank, said <> '' AND again AS duplicate, said <> '' AND NOT again AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+         pos > 1 AND before || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), figures AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS turns
+  FROM marked GROUP BY cid
+), fold AS (
+  SELECT cid, 0::BIGINT AS pos, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}} AS n, {_NONE} AS s, {_NONE} AS u, {_NONE} AS a FROM figures
+  UNION ALL
+  SELECT f.cid, m.pos, {_after("f.n", "2", "D")},
+    {_least(_after("f.s", "2", "D"), f"CASE WHEN m.free AND m.initial = 's' THEN {_after('f.n', 'm.extra', 'K', 'm.line')} END")},
+    {_least(_after("f.iu", "2", "D"), f"CASE WHEN m.free AND m.initial = 'u' THEN {_after('f.pu', 'm.extra', 'K', 'm.line')} END", f"CASE WHEN m.free THEN {_after('f.pu', 'm.extra + 1', 'R', "'user:' || m.text")} END")},
+    {_least(_after("f.ia", "2", "D"), f"CASE WHEN m.free AND m.initial = 'a' THEN {_after('f.iu', 'm.extra', 'K', 'm.line')} END", f"CASE WHEN m.free THEN {_after('f.iu', 'm.extra + 1', 'R', "'assistant:' || m.text")} END")}
+  FROM (SELECT *, {_least("n", "s", "ia")} AS pu FROM (SELECT *, {_USER} AS iu, {_ASSISTANT} AS ia FROM fold f)) f
+  JOIN (SELECT cid, pos, initial, text, role || ':' || text AS line, NOT (blank OR duplicate) AS free, CASE WHEN truncated THEN 5 ELSE 0 END AS extra FROM marked) m ON m.cid = f.cid AND m.pos = f.pos + 1
+), done AS (
+  SELECT f.cid, {_least("f.n", _ASSISTANT)} AS best FROM fold f JOIN figures g ON g.cid = f.cid AND g.turns = f.pos
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM coded) c LEFT JOIN figures USING (cid) LEFT JOIN done USING (cid)
+"""
+
+ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_conversation_repair": OP11}

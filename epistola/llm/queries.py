@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistola.llm import decontaminate, exact_dedup, html_text, ngram_join, personal, pieces, quality, sharding, token_counts, urls
+from epistola.llm import conversations, decontaminate, exact_dedup, html_text, ngram_join, personal, pieces, quality, sharding, token_counts, urls
 from epistola.llm.common import table
 
 
@@ -68,6 +68,30 @@ def sample_edits(text: str) -> Column:
     return F.array(edit(F.floor(n / 2), 0, " see also the 2nd note's"), edit(F.floor(n / 3), 17, ""), edit(F.lit(0), 5, "Draft: "))
 
 
+def damaged(df: DataFrame) -> DataFrame:
+    """The contract's damage: crc32 of conv_id:turn, modulo 20, drops, empties, strips ends, repeats or makes a user turn; nulls are one space."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = df.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(name.cast("binary")) % 20).alias("code"))
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select(
+        *("conv_id", "turn"),
+        F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        (F.col("code") != 0).alias("present"),
+        F.explode(F.when(F.col("code") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("time"),
+    ).drop("time")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
+    figures = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    rows = repaired.select(*figures, "part", "parts", "audit", F.size(lines).alias("n_lines"), F.array_join(lines, "\n").alias("lines"))
+    whole = rows.where("parts = 1").select(*figures, "audit", F.sha2(F.col("lines").cast("binary"), 256).alias("repaired_sha256"))
+    return whole.unionByName(conversations.digest_parts(rows.where("parts > 1"), figures))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -79,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
 }
