@@ -113,4 +113,18 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT cid, conv_id FROM coded) c LEFT JOIN figures USING (cid) LEFT JOIN done USING (cid)
 """
 
-ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_conversation_repair": OP11}
+OP12 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line FROM texts
+), keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), frequent AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM (SELECT x.*, f.k IS NOT NULL AND x.doc_id IS DISTINCT FROM f.keeper AS lost FROM keyed x LEFT JOIN frequent f USING (k)) GROUP BY r, doc_id
+"""
+
+ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_conversation_repair": OP11, "op12_line_dedup": OP12}

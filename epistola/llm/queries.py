@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistola.llm import conversations, decontaminate, exact_dedup, html_text, ngram_join, personal, pieces, quality, sharding, token_counts, urls
+from epistola.llm import conversations, decontaminate, exact_dedup, html_text, line_dedup, ngram_join, personal, pieces, quality, sharding, token_counts, urls
 from epistola.llm.common import table
 
 
@@ -92,6 +92,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.unionByName(conversations.digest_parts(rows.where("parts > 1"), figures))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    left = line_dedup.apply(docs, line_dedup.bitmaps(docs), keep=["doc_id"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -104,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
 }
