@@ -127,4 +127,40 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(
 FROM (SELECT x.*, f.k IS NOT NULL AND x.doc_id IS DISTINCT FROM f.keeper AS lost FROM keyed x LEFT JOIN frequent f USING (k)) GROUP BY r, doc_id
 """
 
-ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_conversation_repair": OP11, "op12_line_dedup": OP12}
+
+def _assigned(name: str, books: str) -> str:
+    """Each part's nearest entry: dist, entry."""
+    return f"""{name} AS (
+  SELECT v.vec_id, v.part, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.entry}}) AS best
+  FROM cut v JOIN {books} b USING (part) GROUP BY v.vec_id, v.part, v.x
+)"""
+
+
+def _moved(name: str, assigned: str, books: str) -> str:
+    """Each entry at the floor of its parts' mean; unused entries stay."""
+    return f"""{name} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (
+    SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+      SELECT part, entry, i, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT part, best.e AS entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS c FROM {assigned}) GROUP BY ALL
+    ) GROUP BY ALL
+  ) m USING (part, entry)
+)"""
+
+
+OP13 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+  SELECT vec_id, p AS part, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(p)
+), seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+), b0 AS (SELECT part, entry, x FROM cut JOIN seeds USING (vec_id)
+), {_assigned("a1", "b0")}, {_moved("b1", "a1", "b0")}, {_assigned("a2", "b1")}, {_moved("b2", "a2", "b1")}, {_assigned("a3", "b2")},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+), errors AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', best.e::INTEGER)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a3 JOIN kept USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM errors, books
+"""
+
+ORACLES = {"op1_sharding": OP1, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_conversation_repair": OP11, "op12_line_dedup": OP12, "op13_vector_codes": OP13}

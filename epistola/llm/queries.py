@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistola.llm import conversations, decontaminate, exact_dedup, html_text, line_dedup, ngram_join, personal, pieces, quality, sharding, token_counts, urls
+from epistola.llm import conversations, decontaminate, exact_dedup, html_text, line_dedup, ngram_join, personal, pieces, quality, sharding, token_counts, urls, vector_codes
 from epistola.llm.common import table
 
 
@@ -98,6 +98,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    told = vector_codes.with_label_errors(rows)
+    return told.select(F.col("key").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -111,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
