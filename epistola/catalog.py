@@ -403,11 +403,29 @@ def knn_threshold(spark, t):
 
 
 @query
-def near_duplicate_vectors(spark, t):
+def ivf_topk(spark, t):
+    """knn_topk through an inverted file: few cells first, then all that the hits so far don't rule out."""
+    table = t("embeddings")
+    centres = vectors.train_cells(table, vectors.cells_for(table.count()))
+    placed = vectors.assign_cells(table, centres)
+    return vectors.search_cells(placed, centres, _queries(t), 12, probes=3, same=False)
+
+
+def _bent(t):
     """The table and a copy of each vector that is bent a little, axis by axis."""
     base = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     bent = base.select((F.col("vec_id") + 1000000000).alias("vec_id"), F.transform("embedding", lambda x, i: x * (1 + (i % 7 - 3) * 0.05)).alias("embedding"))
-    return vectors.near_duplicates(base.unionByName(bent), 0.95)
+    return base.unionByName(bent)
+
+
+@query
+def near_duplicate_vectors(spark, t):
+    return vectors.near_duplicates(_bent(t), 0.95)
+
+
+@query
+def near_duplicate_vectors_exact(spark, t):
+    return vectors.near_duplicates_exact(_bent(t), 0.95)
 
 
 def _voted(t):

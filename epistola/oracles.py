@@ -470,6 +470,7 @@ NEAR = """(
     SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS distance
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0))"""
 ORACLES["knn_topk"] = f"SELECT query_id, rank, id, distance, similarity FROM {NEAR} WHERE rank <= 12"
+ORACLES["ivf_topk"] = ORACLES["knn_topk"]
 ORACLES["knn_threshold"] = f"SELECT query_id, rank, id, distance, similarity FROM {NEAR} WHERE rank <= 12 AND similarity >= 0.45"
 ORACLES["near_duplicate_vectors"] = """
 WITH base AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -478,6 +479,7 @@ named AS (SELECT min(vec_id) AS id, v FROM every GROUP BY v)
 SELECT a.id AS a, b.id AS b, round_even(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM named a JOIN named b ON a.id < b.id WHERE round_even(list_cosine_similarity(a.v, b.v), 6) >= 0.95
 UNION ALL SELECT id, vec_id, 1.0 FROM every JOIN named USING (v) WHERE vec_id <> id
 """
+ORACLES["near_duplicate_vectors_exact"] = ORACLES["near_duplicate_vectors"]
 
 
 def votes(most: int) -> str:
