@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,63 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def common_subsequence(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of every pair, all pairs at once, a bit per character of a; -1 where a has over 63.
+
+    The characters in matching blocks are such a subsequence, so this bounds the sequence ratio from above.
+    """
+    out = np.full(len(a), -1, np.int64)
+    rows = np.flatnonzero([len(x) < 64 for x in a])
+    if not len(rows):
+        return out
+    one, other = [a[i] for i in rows], [b[i] for i in rows]
+    points = np.unique(np.frombuffer("".join([*one, *other]).encode("utf-32-le", "surrogatepass"), np.uint32))
+
+    def codes(texts: list[str]) -> np.ndarray:
+        n = np.array([len(t) for t in texts])
+        flat = np.searchsorted(points, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+        wide = np.full((len(texts), max(int(n.max()), 1)), len(points))
+        wide[np.arange(wide.shape[1]) < n[:, None]] = flat
+        return wide.T
+
+    mine, theirs, every = codes(one), codes(other), np.arange(len(one))
+    where = np.zeros((len(one), len(points) + 1), np.uint64)
+    for i, c in enumerate(mine):
+        where[every, c] |= np.uint64(1 << i)
+    where[:, -1] = 0
+    free = np.full(len(one), ~np.uint64(0))
+    for c in theirs:
+        hit = free & where[every, c]
+        free = (free + hit) | (free - hit)
+    sizes = np.array([len(t) for t in one])
+    mask = np.array([(1 << n) - 1 for n in range(64)], np.uint64)[sizes]
+    out[rows] = np.bitwise_count(~free & mask)
+    return out
+
+
+def ratio_from(cutoff: float):
+    """The sequence ratio of two columns, null below `cutoff`: pairs whose longest common subsequence is too short are not compared."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher, last = [None] * len(a), difflib.SequenceMatcher(), None
+        one, other = a.tolist(), b.tolist()
+        for start in range(0, len(one), 4096):
+            x, y = one[start : start + 4096], other[start : start + 4096]
+            common = common_subsequence(x, y)
+            total = np.array([len(s) + len(t) for s, t in zip(x, y, strict=True)])
+            for i in np.flatnonzero((common < 0) | (2.0 * common >= (cutoff - 1e-9) * total)):
+                if y[i] != last:
+                    matcher.set_seq2(y[i])
+                    last = y[i]
+                matcher.set_seq1(x[i])
+                if (r := matcher.ratio()) >= cutoff:
+                    out[start + i] = r
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 def closest(values: Column, vocabulary: Sequence[str], cutoff: float) -> Column:
     """struct<match, ratio>: the best entry of a small vocabulary from `cutoff` on; ties go to the larger string."""
     entries = sorted(set(vocabulary))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistola.functions.similarity import sequence_ratio
+from epistola.functions.similarity import ratio_from
 
 
 def _tokens(names: DataFrame, block: Sequence[str], column: str) -> DataFrame:
@@ -17,13 +17,12 @@ def _tokens(names: DataFrame, block: Sequence[str], column: str) -> DataFrame:
     return chars.select(*block, column, "size", F.concat("c", times.cast("string")).alias("token"))
 
 
-def close_pairs(left: DataFrame, right: DataFrame, cutoff: float, block: Sequence[str] = ()) -> DataFrame:
-    """(*block, a, b, ratio) of left(*block, a) and right(*block, b), both distinct and not null, with a sequence ratio from `cutoff` on.
+def candidates(left: DataFrame, right: DataFrame, cutoff: float, block: Sequence[str] = ()) -> DataFrame:
+    """(*block, a, b) of the pairs that may have a sequence ratio from `cutoff` on.
 
-    A ratio of c needs c (|a| + |b|) / 2 characters in common, at least c / (2 - c) of either
-    length. So of the rarest-first characters of both strings the first |s| - need + 1 meet,
-    and only strings that share such a character are compared. `cutoff` is above 0; of two
-    empty strings nothing is returned.
+    A ratio of c needs n = c (|a| + |b|) / 2 characters in common. With the characters of both sorted rarest
+    first, the first that they share must have n - 1 others behind it on either side, so
+    of each string only the first |s| - c / (2 - c) |s| + 1 are looked up, and a pair that meets too late in either goes.
     """
     one, other = _tokens(left, block, "a"), _tokens(right, block, "b")
     both = one.select(*block, "token").unionByName(other.select(*block, "token"))
@@ -33,8 +32,18 @@ def close_pairs(left: DataFrame, right: DataFrame, cutoff: float, block: Sequenc
         place = F.row_number().over(Window.partitionBy(*block, column).orderBy("n", "token"))
         need = F.ceil(F.col("size") * (cutoff / (2 - cutoff)) - 1e-9)
         kept = tokens.join(known, [*block, "token"]).withColumn("place", place).where(F.col("place") <= F.col("size") - need + 1)
-        return kept.select(*block, column, F.col("size").alias(f"size_{column}"), "token")
+        return kept.select(*block, column, F.col("size").alias(f"size_{column}"), (F.col("size") - F.col("place") + 1).alias(f"left_{column}"), "token")
+
+    enough = f"2 * least(left_a, left_b) >= {cutoff - 1e-9!r} * (size_a + size_b)"
+    return rarest(one, "a").join(rarest(other, "b"), [*block, "token"]).where(enough).select(*block, "a", "b").distinct()
+
 
-    near = f"2 * least(size_a, size_b) >= {cutoff - 1e-9!r} * (size_a + size_b)"
-    pairs = rarest(one, "a").join(rarest(other, "b"), [*block, "token"]).where(near).select(*block, "a", "b").distinct()
-    return pairs.withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= cutoff)
+def close_pairs(left: DataFrame, right: DataFrame, cutoff: float, block: Sequence[str] = ()) -> DataFrame:
+    """(*block, a, b, ratio) of left(*block, a) and right(*block, b), both distinct and not null, with a sequence ratio from `cutoff` on.
+
+    candidates() finds the pairs, the longest common subsequence rules out most of them (many
+    pairs at once), and what is left is compared. `cutoff` is above 0; of two
+    empty strings nothing is returned. Strings of 64 or more characters skip the second step.
+    """
+    found = candidates(left, right, cutoff, block)
+    return found.withColumn("ratio", ratio_from(cutoff)(F.col("a"), F.col("b"))).where("ratio is not null")

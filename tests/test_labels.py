@@ -196,6 +196,50 @@ def test_close_pairs_lose_none(spark, cutoff):
     assert got == want
 
 
+def test_common_subsequences_equal_the_table(spark):
+    import random
+
+    from epistola.functions.similarity import common_subsequence
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(8)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("é😀", "😀é"), ("x" * 63, "x" * 70), ("ab" * 31 + "c", "ba" * 90), ("y" * 64, "y")]
+    pairs += [("".join(r.choice("abcé😀") for _ in range(r.randrange(64))), "".join(r.choice("abcé😀") for _ in range(r.randrange(90)))) for _ in range(300)]
+    got = common_subsequence([a for a, _ in pairs], [b for _, b in pairs]).tolist()
+    assert got == [table(a, b) if len(a) < 64 else -1 for a, b in pairs]
+
+
+@pytest.mark.parametrize("cutoff", [0.7, 0.92, 0.8])
+def test_few_pairs_are_compared_in_full(spark, cutoff):
+    """Names with endings at 0.7 and 0.92, ids of 9 to 11 hexadecimal digits at 0.8: the pairs that the bounds leave."""
+    from epistola.functions.similarity import common_subsequence
+    from epistola.operators import fuzzy
+
+    if cutoff == 0.8:
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        rows = docs.where("text is not null").selectExpr("left(md5(text), 9 + cast(doc_id % 3 as int)) as a").distinct().limit(1500)
+    else:
+        ends = F.array(*[F.lit(e) for e in (" works", " of the site", " delayed", ", part two", " (revised)", " claim")])
+        part = spark.read.parquet("/root/testdata/sf0.1/part.parquet")
+        rows = part.select(F.concat("p_name", F.get(ends, F.pmod("p_partkey", F.lit(6)).cast("int"))).alias("a")).distinct()
+    n = rows.count()
+    other = rows.withColumnRenamed("a", "b")
+    found = fuzzy.candidates(rows, other, cutoff).where("a < b").toPandas()
+    common = common_subsequence(found["a"].tolist(), found["b"].tolist())
+    left = (2 * common >= cutoff * (found["a"].str.len() + found["b"].str.len())).sum()
+    close = fuzzy.close_pairs(rows, other, cutoff).where("a < b").count()
+    pairs = n * (n - 1) / 2
+    print(f"cutoff {cutoff}: {n} strings, candidates {len(found) / pairs:.3f}, compared in full {left / pairs:.4f}, close {close / pairs:.4f} of the pairs")
+    assert n > 300 and left - close < 0.01 * pairs and (left < 0.05 * pairs or cutoff == 0.7)
+
+
 def test_validation_equals_difflib(spark):
     import difflib
 
