@@ -143,8 +143,10 @@ def _one_pass(docs: DataFrame, text: str, items: tuple, keep: list[str]) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def make():
+        matcher = _matcher(shared.value)
+
         def work(texts):
-            found = [_matcher(shared.value).match(t) for t in texts]
+            found = [matcher.match(t) for t in texts]
             return (
                 [n for n, _, _ in found],
                 [[{"start": a, "end": b} for a, b in runs] for _, runs, _ in found],

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epistola.llm.common import map_rows, text_of
+from epistola.llm.common import fresh, map_rows, text_of
 
 #: Pre-tokens of a leaf when a tree is built.
 LEAF = 64
@@ -189,11 +189,13 @@ EDIT = T.StructType([T.StructField("position", T.LongType()), T.StructField("del
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """docs with an `edits` array from edits(key, seq, position, deleted, inserted), in order of seq."""
+    """docs with an `edits` array from edits(key, seq, position, deleted, inserted), in order of seq; a column of that name gives way to it."""
     one = F.struct(order, "position", "deleted", "inserted")
-    lists = edits.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(one)).alias("__edits"))
-    chosen = F.transform("__edits", lambda e: F.struct(e["position"].alias("position"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted")))
-    return docs.drop("edits").join(lists, docs[key] == lists["__key"], "left").withColumn("edits", chosen).drop("__key", "__edits")
+    name, found = fresh("key", docs.columns), fresh("found", docs.columns)
+    lists = edits.groupBy(F.col(key).alias(name)).agg(F.array_sort(F.collect_list(one)).alias(found))
+    chosen = F.transform(found, lambda e: F.struct(e["position"].alias("position"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "edits"]
+    return docs.join(lists, F.col(f"`{key}`") == F.col(name), "left").select(*kept, chosen.alias("edits"))
 
 
 def count_edited(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", edits: str = "edits", texts: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -143,3 +143,10 @@ def test_count_table_with_odd_rows(spark):
     changes = spark.createDataFrame([(3, 2, 0, 3, "1"), (3, 1, 0, 0, "x ")], "doc_id long, seq int, position long, deleted long, inserted string")
     joined = token_counts.with_edits(docs, changes).where("doc_id = 3").first()
     assert [e.inserted for e in joined.edits] == ["x ", "1"]
+
+
+def test_edits_join_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "k", "f", "old"), (2, "b", None, None, None)], "doc_id long, text string, __key string, key string, Edits string")
+    changes = spark.createDataFrame([(1, 2, 0, 0, "y"), (1, 1, 0, 1, "x")], "doc_id long, seq int, position long, deleted long, inserted string")
+    rows = {r["doc_id"]: r for r in token_counts.with_edits(docs, changes).collect()}
+    assert (rows[1]["__key"], rows[1]["key"]) == ("k", "f") and [e["inserted"] for e in rows[1]["edits"]] == ["x", "y"] and rows[2]["edits"] is None
