@@ -22,6 +22,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         if x is None or y is None:
             out.append(None)
             continue
+        if x == y:
+            out.append(1.0)
+            continue
         if y != last:
             matcher.set_seq2(y)
             last = y

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epistola.functions.columns import once
 from epistola.functions.similarity import jaccard, text_similarity
 from epistola.functions.text import key_words
 from epistola.operators.fuzzy import close_pairs
@@ -15,8 +16,8 @@ from epistola.operators.fuzzy import close_pairs
 NEAR_ID = 0.8
 
 
-def score(new: str, old: str, sequence: bool = True) -> dict[str, Column]:
-    """Points of id (40), date (20), subject (25) and body (15) for columns with those prefixes; __words hold key words."""
+def score(new: str, old: str, sequence: bool = True) -> tuple[dict[str, Column], Column]:
+    """Points of id (40), date (20) and subject (25), and those of the body (15), for columns with those prefixes; __words hold key words."""
     zero = F.lit(0.0)
     a, b = (lambda c: F.col(f"{new}{c}")), (lambda c: F.col(f"{old}{c}"))
 
@@ -34,8 +35,7 @@ def score(new: str, old: str, sequence: bool = True) -> dict[str, Column]:
         "id_points": F.when(same, 40.0).when(given & (near > 0.8), near * 40).otherwise(zero),
         "date_points": F.when(days == 0, 20.0).when(days <= 3, (1 - days / 7) * 20).otherwise(zero),
         "subject_points": alike("subject") * 25,
-        "body_points": alike("body") * 15,
-    }
+    }, alike("body") * 15
 
 
 def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 75.0, sequence: bool = True) -> DataFrame:
@@ -62,8 +62,10 @@ def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 7
     left = words.select(*[F.col(c).alias(f"n_{c}") for c in words.columns])
     right = words.select(*[F.col(c).alias(f"o_{c}") for c in words.columns])
     joined = pairs.join(left, pairs["id"] == left["n_id"]).join(right, pairs["other"] == right["o_id"])
-    scored = joined.withColumns(score("n_", "o_", sequence))
-    total = F.bround(F.col("id_points") + F.col("date_points") + F.col("subject_points") + F.col("body_points"), 4)
-    scored = scored.withColumn("score", total).where((F.col("score") >= least) | F.col("id_match"))
+    short, body = score("n_", "o_", sequence)
+    part = F.col("id_points") + F.col("date_points") + F.col("subject_points")
+    # whole bodies are compared only where their points can decide; once() keeps the filter in front of them
+    near = once(joined, short).where(F.col("id_match") | (F.bround(part + 15, 4) >= least))
+    scored = near.withColumn("score", F.bround(part + body, 4)).where((F.col("score") >= least) | F.col("id_match"))
     method = F.when(F.col("id_match"), "letter_id_match").when(F.col("score") >= 98, "high_similarity_match").otherwise("similarity_algorithm")
     return scored.select(F.col("other").alias("original_id"), F.col("id").alias("new_id"), "score", method.alias("detection_method"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,43 +140,50 @@ def reweight(categories: DataFrame, answers: DataFrame, key: str = "doc_id") ->
     return joined.withColumn("confidence", F.col("confidence") * F.coalesce("accuracy", F.lit(1.0)))
 
 
-REFINED = "issue_type string, confidence double, evidence string, source string, replaced_issue string, place int"
+#: What stands for evidence of an issue that only the refiner names (fixed values).
+UNSUPPORTED, UNREFERENCED = "Document supports {} but no specific sentence found", "LLM validation only - no vector search match"
+_ISSUE = "array<struct<issue_type:string,confidence:double,evidence:string,reference_evidence:string,source:string,replaced_issue:string>>"
 
 
-def refine(issues: DataFrame, answers: DataFrame, key: str = "doc_id", least: float = 0.01) -> DataFrame:
-    """Edit each document's issues by the recorded answers of a refiner.
+def refine(issues: DataFrame, answers: DataFrame, docs: DataFrame | None = None, key: str = "doc_id", text: str = "text", least: float = 0.01) -> DataFrame:
+    """key, issue_type, confidence, evidence, reference_evidence, source, replaced_issue, place: each document's issues edited by a refiner's recorded answers.
 
     answers(key, validated array<struct<issue_type, confidence, is_accurate>>, missing
-    array<struct<issue_type, confidence, reason>>). A confirmed issue is scaled, a refused or
-    unmentioned one goes, an unknown one is added from `least` on; a suggestion replaces the
-    first kept issue of which it is over 1.5 times as sure, else joins from 0.5 on. The order
-    decides, so each document (a few rows) is edited as one group.
+    array<struct<issue_type, confidence, reason>>), one row per key. A confirmed issue is scaled and keeps its evidence, a
+    refused or unmentioned one goes, an unknown one is added from `least` on; a suggestion replaces the
+    first kept issue of which it is over 1.5 times as sure and takes its evidence over, else joins from 0.5 on. An added
+    issue has its evidence from docs(key, text), or says that there is none. The order decides, so it is a fold over each
+    document's own answers. issues(key, issue_type, confidence, evidence, source) may have reference_evidence.
     """
-
-    def edit(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        known = {r.issue_type: r for r in group.itertuples() if r.issue_type is not None}
-        rows = []
-        for a in first["validated"] if first["validated"] is not None else []:
-            if a["is_accurate"] is False:
-                continue
-            sure = 1.0 if a["confidence"] is None else a["confidence"]
-            if (r := known.get(a["issue_type"])) is not None:
-                rows.append([r.issue_type, r.confidence * sure, r.evidence, r.source, None])
-            elif (a["confidence"] or 0.0) >= least:
-                rows.append([a["issue_type"], a["confidence"], "", "llm_validation", None])
-        for a in first["missing"] if first["missing"] is not None else []:
-            sure = a["confidence"] or 0.0
-            if sure < least:
-                continue
-            for r in rows:
-                if sure > r[1] * 1.5:
-                    r[:] = [a["issue_type"], sure, r[2], "llm_validation", r[0]]
-                    break
-            else:
-                if sure >= 0.5:
-                    rows.append([a["issue_type"], sure, "", "llm_validation", None])
-        return pd.DataFrame([[first[key], *r, i] for i, r in enumerate(rows, 1)], columns=[key, "issue_type", "confidence", "evidence", "source", "replaced_issue", "place"])
-
-    joined = answers.select(key, "validated", "missing").join(issues.select(key, "issue_type", "confidence", "evidence", "source"), key, "left")
-    return joined.groupBy(key).applyInPandas(edit, f"{key} {issues.schema[key].dataType.simpleString()}, {REFINED}")
+    reference = F.col("reference_evidence") if "reference_evidence" in issues.columns else F.lit(None).cast("string")
+    known = issues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("issue_type", "confidence", "evidence", reference.alias("reference_evidence"), "source"))).alias("__known"))
+    rows = answers.select(key, "validated", "missing").join(known, key, "left")
+    rows = rows.join(docs.select(key, F.col(text).alias("__body")), key, "left") if docs is not None else rows.withColumn("__body", F.lit(None).cast("string"))
+
+    def issue(name: Column, confidence: Column, evidence: Column, reference: Column, source: Column, replaced: Column) -> Column:
+        fields = (name, confidence.cast("double"), evidence, reference, source, replaced)
+        return F.struct(*[c.alias(n) for c, n in zip(fields, ("issue_type", "confidence", "evidence", "reference_evidence", "source", "replaced_issue"), strict=True)])
+
+    def added(a: Column) -> Column:
+        words = F.filter(F.split(F.lower(a["issue_type"]), " "), lambda w: F.length(w) > 2)
+        said = tx.evidence(F.coalesce(F.col("__body"), F.lit("")), words)
+        told = F.when(said != "", said).otherwise(F.concat(F.lit(UNSUPPORTED.split("{}")[0]), a["issue_type"], F.lit(UNSUPPORTED.split("{}")[1])))
+        return issue(a["issue_type"], a["confidence"], told, F.lit(UNREFERENCED), F.lit("llm_validation"), F.lit(None).cast("string"))
+
+    def confirmed(a: Column) -> Column:
+        mine = F.filter(F.coalesce("__known", F.array().cast(_ISSUE.replace(",replaced_issue:string", ""))), lambda k: k["issue_type"] == a["issue_type"])
+        k = F.get(mine, F.lit(0))
+        scaled = issue(k["issue_type"], k["confidence"] * F.coalesce(a["confidence"], F.lit(1.0)), k["evidence"], k["reference_evidence"], k["source"], F.lit(None).cast("string"))
+        kept = F.when(F.size(mine) > 0, scaled).when(F.coalesce(a["confidence"], F.lit(0.0)) >= least, added(a))
+        return F.when(F.coalesce(a["is_accurate"], F.lit(True)), kept)
+
+    def suggest(made: Column, a: Column) -> Column:
+        sure = F.coalesce(a["confidence"], F.lit(0.0))
+        place = F.array_position(F.transform(made, lambda r: sure > r["confidence"] * 1.5), F.lit(True))
+        swap = F.transform(made, lambda r, i: F.when(i + 1 == place, issue(a["issue_type"], sure, r["evidence"], r["reference_evidence"], F.lit("llm_validation"), r["issue_type"])).otherwise(r))
+        out = F.when(sure < least, made).when(place > 0, swap).when(sure >= 0.5, F.concat(made, F.array(added(a)))).otherwise(made)
+        return out.cast(_ISSUE)
+
+    first = F.filter(F.transform(F.coalesce("validated", F.array()), confirmed), lambda r: r.isNotNull()).cast(_ISSUE)
+    made = F.aggregate(F.coalesce("missing", F.array()), first, suggest)
+    return rows.select(key, F.posexplode(made).alias("__i", "__m")).select(key, "__m.*", (F.col("__i") + 1).alias("place"))

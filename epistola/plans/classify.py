@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistola.functions import values
@@ -75,18 +75,44 @@ def by_rules(docs: DataFrame, issues: Sequence[tuple[str, Sequence[str]]], edges
     return adjusted.where(F.col("confidence") >= cfg.category_threshold).select(key, "category", F.bround("confidence", 6).alias("confidence"), "n_sources", "data_sufficiency")
 
 
-def by_search(windows: DataFrame, index: DataFrame, edges: DataFrame, counts: DataFrame, cfg: Config = Config(), key: str = "doc_id") -> DataFrame:
-    """The same from embedded windows(key, window_id, vec_id, text, embedding) and an index(vec_id, embedding, issue_type, reference)."""
-    hits = vectors.top_k(index, windows.select("vec_id", "embedding"), cfg.top_k, threshold=cfg.similarity_threshold)
-    named = hits.join(index.select(F.col("vec_id").alias("id"), "issue_type", "reference"), "id").join(windows.select(F.col("vec_id").alias("query_id"), key, "window_id", "text"), "query_id")
+def search_hits(windows: DataFrame, index: DataFrame, cfg: Config = Config(), key: str = "doc_id", own: str | None = None) -> DataFrame:
+    """Hits of windows(key, window_id, vec_id, text, embedding) in index(vec_id, embedding, issue_type, reference), with evidence from the window.
+
+    own names a column of the index with the document that a row comes from: a document has no hits of its own
+    row (one at most). Exact, in blocks; nothing passes through the driver.
+    """
+    k = cfg.top_k + (own is not None)
+    found = vectors.top_k(index, windows.select("vec_id", "embedding"), k, threshold=cfg.similarity_threshold)
+    rows = index.select(F.col("vec_id").alias("id"), "issue_type", "reference", *([F.col(own).alias("__own")] if own else []))
+    named = found.join(rows, "id").join(windows.select(F.col("vec_id").alias("query_id"), key, "window_id", "text"), "query_id")
+    if own:
+        others = named.where(~F.col("__own").eqNullSafe(F.col(key))).drop("__own")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        named = others.withColumn("rank", place).where(F.col("rank") <= cfg.top_k)
     words = F.filter(F.split(F.lower("issue_type"), " "), lambda w: F.length(w) > 2)
-    said = named.withColumn("evidence", tx.evidence(F.col("text"), words))
-    ranked = search.rank_issues(search.hits_to_issues(said, key), key, cfg.confidence_decay, cfg.similarity_threshold, cfg.max_issues)
+    return named.withColumn("evidence", tx.evidence(F.col("text"), words))
+
+
+def by_search(
+    windows: DataFrame, index: DataFrame, edges: DataFrame, counts: DataFrame, cfg: Config = Config(), key: str = "doc_id", own: str | None = None, answers: DataFrame | None = None, docs: DataFrame | None = None
+) -> DataFrame:
+    """key, category, confidence, n_sources, evidence, data_sufficiency from embedded windows and an index (search_hits).
+
+    Hits become ranked issues, a refiner's recorded answers (search.refine) edit them where given, the
+    issues that are left are mapped to categories, and the training counts(issue_type, issue_n) adjust those.
+    """
+    ranked = search.rank_issues(search.hits_to_issues(search_hits(windows, index, cfg, key, own), key), key, cfg.confidence_decay, cfg.similarity_threshold, cfg.max_issues)
     if cfg.divergence is not None:
         ranked = search.divergence_filter(ranked, key, cfg.divergence)
+    if answers is not None:
+        told = answers.join(ranked.select(key).distinct(), key, "left_semi")
+        unasked = ranked.join(answers.select(key), key, "left_anti")
+        columns = [key, "issue_type", "confidence", "evidence"]
+        ranked = search.refine(ranked, told, docs, key).select(columns).unionByName(unasked.select(columns))
     category_n = edges.groupBy("category").agg(F.count_distinct("issue_type").alias("category_n"))
     mapped = labels.map_issues(ranked.select(key, "issue_type", "confidence", "evidence"), edges, counts, category_n, key, use_unified=True)
-    return mapped.where(F.col("confidence") >= cfg.category_threshold)
+    samples = edges.join(counts, "issue_type").groupBy("category").agg(F.sum("issue_n").alias("n"))
+    return labels.adjust(mapped, samples, "category").where(F.col("confidence") >= cfg.category_threshold)
 
 
 #: Conditions for an approach, tried in order (fixed values).

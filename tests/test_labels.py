@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,11 +154,59 @@ def test_ranking_divergence_priority(spark):
 def test_refine(spark):
     issues = spark.createDataFrame([(1, "a", 0.8, "ea", "semantic_search"), (1, "b", 0.2, "eb", "semantic_search"), (1, "c", 0.9, "ec", "semantic_search")], "doc_id long, issue_type string, confidence double, evidence string, source string")
     answers = spark.createDataFrame(
-        [(1, [("a", 0.5, True), ("b", 1.0, True), ("c", 1.0, False), ("n", 0.3, True)], [("m", 0.5, "r"), ("q", 0.1, "r")])],
+        [(1, [("a", 0.5, True), ("b", 1.0, True), ("c", 1.0, False), ("n", 0.3, True)], [("m", 0.5, "r"), ("q", 0.1, "r")]), (2, None, [("Late payment", 0.9, None)]), (3, None, None)],
         "doc_id long, validated array<struct<issue_type:string,confidence:double,is_accurate:boolean>>, missing array<struct<issue_type:string,confidence:double,reason:string>>",
     )
-    got = [(r.issue_type, round(r.confidence, 3), r.replaced_issue) for r in search.refine(issues, answers).orderBy("place").collect()]
-    assert got == [("a", 0.4, None), ("m", 0.5, "b"), ("n", 0.3, None)]
+    got = [(r.issue_type, round(r.confidence, 3), r.evidence, r.replaced_issue) for r in search.refine(issues, answers).where("doc_id = 1").orderBy("place").collect()]
+    assert got == [("a", 0.4, "ea", None), ("m", 0.5, "eb", "b"), ("n", 0.3, "Document supports n but no specific sentence found", None)]
+    docs = spark.createDataFrame([(2, "Dear Sir. The payment for May came late. Yours")], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in search.refine(issues.withColumn("reference_evidence", F.lit("ref")), answers, docs).where("doc_id > 1").collect()]
+    assert got == [("Late payment", 0.9, "The payment for May came late", search.UNREFERENCED, "llm_validation", None, 1)]
+
+
+def brute_refined(issues, answers, texts, least=0.01):
+    def evidence(text, name):
+        words = [w for w in name.lower().split(" ") if len(w) > 2]
+        parts = [x for x in (re.sub(r"^\s+|\s+$", "", y) for y in text.split(".")) if x]
+        strong = [x for x in parts if sum(w in x.lower() for w in words) >= 2] or [x for x in parts if len(x) > 20 and any(w in x.lower() for w in words[:3])]
+        said = strong[0] if strong else ""
+        said = said[:197] + "..." if len(said) > 200 else said
+        return said or f"Document supports {name} but no specific sentence found"
+
+    out = []
+    for key, validated, missing in answers:
+        known = {i[0]: i for k, *i in issues if k == key}
+        kept = []
+        for name, sure, accurate in validated or ():
+            if accurate is False:
+                continue
+            if name in known:
+                kept.append([name, known[name][1] * (1.0 if sure is None else sure), known[name][2], known[name][4], known[name][3], None])
+            elif (sure or 0.0) >= least:
+                kept.append([name, sure, evidence(texts[key], name), search.UNREFERENCED, "llm_validation", None])
+        for name, sure, _ in missing or ():
+            if (sure or 0.0) < least:
+                continue
+            for row in kept:
+                if sure > row[1] * 1.5:
+                    row[:] = [name, sure, row[2], row[3], "llm_validation", row[0]]
+                    break
+            else:
+                if sure >= 0.5:
+                    kept.append([name, sure, evidence(texts[key], name), search.UNREFERENCED, "llm_validation", None])
+        out += [(key, row[0], round(row[1], 9), *row[2:], place) for place, row in enumerate(kept, 1)]
+    return out
+
+
+def test_refined_query_equals_brute_force(spark, sf):
+    from epistola import catalog, catalog_jobs
+
+    found, answers, docs = catalog_jobs.refiner(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    issues = [(r.doc_id, r.issue_type, r.confidence, r.evidence, r.source, r.reference_evidence) for r in found.collect()]
+    told = [(r.doc_id, r.validated, r.missing) for r in answers.collect()]
+    want = brute_refined(issues, told, {r.doc_id: r.text for r in docs.collect()})
+    got = [(r[0], r[1], round(r[2], 9), *r[3:]) for r in catalog.QUERIES["refined"](spark, sf).select("doc_id", "issue_type", "confidence", "evidence", "reference_evidence", "source", "replaced_issue", "place").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[6] for r in got) and any("supports" not in r[3] and r[5] == "llm_validation" and not r[6] for r in got)
 
 
 def test_duplicate_letters(spark):
