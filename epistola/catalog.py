@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from epistola.functions import text as tx
 from epistola.functions import values
 from epistola.functions.columns import once
-from epistola.operators import documents, duplicates, evaluation, labels, search, vectors
+from epistola.operators import documents, duplicates, evaluation, labels, search, sentences, vectors
 from epistola.oracles import ISSUES, LABELS, ORACLES, RAW_LABELS
 from epistola.plans import classify
 from epistola.session import share_package
@@ -51,6 +51,19 @@ def sentence_windows(spark, t):
     return documents.sentence_windows(t("documents"))
 
 
+@query
+def sentence_model(spark, t):
+    return sentences.learn(t("documents")).withColumn("score", F.round("score", 4))
+
+
+@query
+def learned_sentences(spark, t):
+    """Sentences by a model of the documents themselves."""
+    split = sentences.splitter(sentences.model(sentences.learn(t("documents"))))
+    made = t("documents").select("doc_id", F.posexplode(split(F.col("text"))).alias("i", "sentence"))
+    return made.select("doc_id", (F.col("i") + 1).alias("place"), "sentence")
+
+
 @query
 def greedy_chunks(spark, t):
     made = once(t("documents").select("doc_id", "text"), {"s": tx.sentences(F.col("text"))}).select("doc_id", tx.chunks(F.col("s")).alias("c"))

@@ -94,6 +94,57 @@ windows AS (
 """
 ORACLES["sentence_windows"] = WINDOWS + "SELECT * FROM windows"
 
+
+def _tied(a: str, b: str, ab: str, n: str) -> str:
+    """SQL of the log-likelihood ratio that b follows a."""
+    log = lambda k, x: f"(CASE WHEN {k} = 0 THEN 0.0 ELSE ({k}) * ln({x}) END)"
+    p, p1, p2 = f"{b}::DOUBLE / {n}", f"{ab}::DOUBLE / {a}", f"({b} - {ab})::DOUBLE / nullif({n} - {a}, 0)"
+    apart = f"{log(ab, p)} + {log(f'{a} - {ab}', f'1 - {p}')} + {log(f'{b} - {ab}', p)} + {log(f'{n} - {a} - {b} + {ab}', f'1 - {p}')}"
+    near = f"(CASE WHEN {a} = {ab} THEN 0.0 ELSE {log(ab, p1)} + {log(f'{a} - {ab}', f'1 - {p1}')} END)"
+    far = f"(CASE WHEN {b} = {ab} THEN 0.0 ELSE {log(f'{b} - {ab}', p2)} + {log(f'{n} - {a} - {b} + {ab}', f'1 - {p2}')} END)"
+    return f"(-2 * ({apart} - {near} - {far}))"
+
+
+_BODY = rx("tok", r"""^["\x27-]+|["\x27,;:-]+$""", "")
+_UPPER = "regexp_matches({0}, '^[\"\\x27-]*\\p{{Lu}}')"
+SPLIT = f"""
+WITH toks AS (
+  SELECT doc_id, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split({clean("text")}, ' '), lambda x: x <> '') AS l FROM documents)
+), bodies AS (SELECT *, {_BODY} AS body FROM toks
+), kinds AS (SELECT *, CASE WHEN regexp_matches(body, '^-?[0-9][0-9.,]*$') THEN '##number##' ELSE lower(CASE WHEN ends_with(body, '.') THEN left(body, length(body) - 1) ELSE body END) END AS type, ends_with(body, '.') AS stop FROM bodies
+), pairs AS (SELECT *, lead(type) OVER w AS next, lead(tok) OVER w AS following FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), counts AS (SELECT type, count(*) AS total, count(*) FILTER (stop) AS with_stop FROM pairs GROUP BY type
+), sums AS (SELECT sum(total)::BIGINT AS n, sum(with_stop)::BIGINT AS stops FROM counts
+), weighed AS (
+  SELECT type, (-2 * (with_stop * ln(stops::DOUBLE / n) + (total - with_stop) * ln(1 - stops::DOUBLE / n) - with_stop * ln(0.99::DOUBLE) - (total - with_stop) * ln(0.01::DOUBLE)))
+    * exp(-letters::DOUBLE) * (inner_stops + 1) * pow(letters::DOUBLE, -(total - with_stop)::DOUBLE) AS score
+  FROM (SELECT *, length(type) - length(replace(type, '.', '')) AS inner_stops, length(replace(type, '.', '')) AS letters FROM counts), sums
+  WHERE with_stop > 0 AND type <> '##number##' AND regexp_matches(type, '[\\p{{L}}\\p{{N}}_]') AND stops < n
+), short AS (SELECT type, score FROM weighed WHERE score >= 0.3
+), marked AS (SELECT p.*, s.type IS NOT NULL AS short FROM pairs p LEFT JOIN short s USING (type) WHERE stop
+), breaks AS (SELECT count(*) AS breaks FROM marked WHERE NOT short
+), starters AS (
+  SELECT next AS type, score FROM (SELECT f.*, {_tied("breaks", "b", "ab", "n")} AS score FROM (SELECT next, count(*) AS ab FROM marked WHERE NOT short AND next IS NOT NULL GROUP BY next) f JOIN (SELECT type AS next, total AS b FROM counts) USING (next), breaks, sums
+    WHERE regexp_matches(next, '[\\p{{L}}\\p{{N}}_]') AND next <> '##number##' AND n::DOUBLE / breaks > b::DOUBLE / ab) WHERE score >= 30
+), tied AS (
+  SELECT type, next, score FROM (SELECT f.*, {_tied("a", "b", "ab", "n")} AS score FROM (SELECT type, next, count(*) AS ab FROM marked WHERE next IS NOT NULL AND (short OR regexp_matches(body, '^\\p{{L}}\\.$') OR type = '##number##') GROUP BY ALL HAVING count(*) > 1) f
+    JOIN (SELECT type, total AS a FROM counts) USING (type) JOIN (SELECT type AS next, total AS b FROM counts) USING (next), sums
+    WHERE regexp_matches(next, '[\\p{{L}}\\p{{N}}_]') AND next NOT IN (SELECT type FROM starters) AND n::DOUBLE / a > b::DOUBLE / ab) WHERE score >= 7.88
+)
+"""
+ORACLES["sentence_model"] = SPLIT + """
+SELECT 'abbreviation' AS kind, type, '' AS next, round(score, 4) AS score FROM short UNION ALL SELECT 'starter', type, '', round(score, 4) FROM starters UNION ALL SELECT 'collocation', type, next, round(score, 4) FROM tied
+"""
+ORACLES["learned_sentences"] = SPLIT + f"""
+, ended AS (
+  SELECT p.doc_id, p.tok, p.i, CASE WHEN p.following IS NULL THEN false WHEN regexp_matches(body, '[!?]$') THEN true WHEN NOT stop THEN false WHEN t.type IS NOT NULL THEN false
+    WHEN s.type IS NOT NULL OR regexp_matches(body, '^\\p{{L}}\\.$') THEN {_UPPER.format("p.following")} AND p.next IN (SELECT type FROM starters)
+    ELSE {_UPPER.format("p.following")} OR p.type <> '##number##' END AS over
+  FROM pairs p LEFT JOIN tied t ON t.type = p.type AND t.next = p.next LEFT JOIN short s ON s.type = p.type
+), placed AS (SELECT doc_id, tok, i, (coalesce(sum(over::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::INT AS place FROM ended)
+SELECT doc_id, place, string_agg(tok, ' ' ORDER BY i) AS sentence FROM placed GROUP BY ALL
+"""
+
 ORACLES["greedy_chunks"] = f"""
 WITH RECURSIVE s AS (SELECT doc_id, {sentences("text")} AS p FROM documents),
 fold AS (
