@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epistola.functions import domains
+from epistola.functions import domains, stems
 from epistola.functions import text as tx
 from epistola.operators import documents, evaluation, governance, labels, search, vectors
-from epistola.oracles import EDGES, ISSUE_ROWS, ISSUES, JUDGED, LABELS, WINDOWS, WORD, any_of, batch, cut, evidence, measured, q
+from epistola.oracles import EDGES, ISSUE_ROWS, ISSUES, JUDGED, LABELS, WINDOWS, WORD, any_of, batch, case, cut, evidence, measured, q
 from epistola.oracles import ORACLES as KNOWN
 from epistola.oracles import level as level_sql
 from epistola.oracles import multiplier as multiplier_sql
@@ -429,6 +429,52 @@ def against_truth(spark, t):
     return evaluation.against_truth(said, truth, loose=True).select("file_name", _joined("truth"), _joined("predicted"))
 
 
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_HEAD = f"^(?:{_C}{_V}|[aeiou]+)"  # a y in front is a consonant
+_M0, _M1, _ONE = f"{_HEAD}[^aeiou]", f"{_HEAD}{_C}{_V}[^aeiou]", f"{_HEAD}{_C}({_V})?$"
+_SHUT = f"(regexp_matches({{0}}, '^{_C}[aeiouy][^aeiouwxy]$') OR regexp_matches({{0}}, '^[aeiou][^aeiou]$'))"
+
+
+def _rules(w: str, rules, test: str) -> str:
+    """SQL of the first rule whose suffix w has; test states what must hold of the stem {0}."""
+    whens = []
+    for suffix, instead in rules:
+        left = f"left({w}, length({w}) - {len(suffix)})"
+        whens.append(f"WHEN ends_with({w}, '{suffix}') THEN CASE WHEN {test.replace('{0}', left).replace('{w}', w)} THEN {left} || '{instead}' ELSE {w} END")
+    return f"CASE {' '.join(whens)} ELSE {w} END"
+
+
+_STEMS = f"""
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+|[.,;:])') AS l FROM documents),
+s0 AS (SELECT DISTINCT unnest(l) AS word FROM t),
+s1 AS (SELECT word, CASE WHEN ends_with(word, 'ies') THEN left(word, length(word) - CASE WHEN length(word) = 4 THEN 1 ELSE 2 END) WHEN ends_with(word, 'sses') THEN left(word, length(word) - 2)
+  WHEN ends_with(word, 's') AND NOT ends_with(word, 'ss') THEN left(word, length(word) - 1) ELSE word END AS w FROM s0),
+s2 AS (SELECT word, w, CASE WHEN ends_with(w, 'ied') OR ends_with(w, 'eed') THEN NULL WHEN ends_with(w, 'ed') THEN left(w, length(w) - 2) WHEN ends_with(w, 'ing') THEN left(w, length(w) - 3) END AS cut FROM s1),
+s3 AS (SELECT word, CASE WHEN ends_with(w, 'ied') THEN left(w, length(w) - CASE WHEN length(w) = 4 THEN 1 ELSE 2 END)
+  WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{_M0}') THEN left(w, length(w) - 1) ELSE w END
+  WHEN cut IS NULL OR NOT regexp_matches(cut, '{_HEAD}') THEN w WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e'
+  WHEN length(cut) > 1 AND right(cut, 1) = left(right(cut, 2), 1) AND NOT regexp_matches(cut, '[aeiouy]$') THEN CASE WHEN regexp_matches(cut, '[lsz]$') THEN cut ELSE left(cut, length(cut) - 1) END
+  WHEN regexp_matches(cut, '{_ONE}') AND {_SHUT.format('cut')} THEN cut || 'e' ELSE cut END AS w FROM s2),
+s4 AS (SELECT word, CASE WHEN length(w) > 2 AND ends_with(w, 'y') AND regexp_matches(left(w, length(w) - 1), '([^aeiouy]|^y|[aeiou]y)$') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM s3),
+s5 AS (SELECT word, CASE WHEN ends_with(w, 'alli') AND regexp_matches(left(w, length(w) - 4), '{_M0}') THEN left(w, length(w) - 2) END AS again, w FROM s4),
+s6 AS (SELECT word, CASE WHEN ends_with(w, 'alli') THEN {_rules("coalesce(again, w)", [r for r in stems.SECOND if r[0].endswith("al")], f"regexp_matches({{0}}, '{_M0}')")}
+  WHEN ends_with(w, 'logi') THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{_M0}') THEN left(w, length(w) - 1) ELSE w END
+  ELSE {_rules("w", stems.SECOND, f"regexp_matches({{0}}, '{_M0}')")} END AS w FROM s5),
+s7 AS (SELECT word, {_rules("w", stems.THIRD, f"regexp_matches({{0}}, '{_M0}')")} AS w FROM s6),
+s8 AS (SELECT word, {_rules("w", [(x, "") for x in stems.FOURTH], f"regexp_matches({{0}}, '{_M1}') AND (NOT ends_with({{w}}, 'ion') OR regexp_matches({{0}}, '[st]$'))")} AS w FROM s7),
+s9 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND (regexp_matches(left(w, length(w) - 1), '{_M1}') OR (regexp_matches(left(w, length(w) - 1), '{_ONE}') AND NOT {_SHUT.format('left(w, length(w) - 1)')})) THEN left(w, length(w) - 1) ELSE w END AS w FROM s8),
+stemmed AS (SELECT word, {case([(f"word = {q(a)}", q(b)) for a, b in stems.IRREGULAR.items()], f"CASE WHEN length(word) <= 2 THEN word WHEN ends_with(w, 'll') AND regexp_matches(left(w, length(w) - 1), '{_M1}') THEN left(w, length(w) - 1) ELSE w END")} AS stem FROM s9)
+"""
+
+
+@query(f"""WITH {_STEMS}
+SELECT t.doc_id, coalesce(s.stems, '') AS stems FROM t LEFT JOIN (SELECT doc_id, string_agg(stem, ' ' ORDER BY i) AS stems FROM (SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS i FROM t) JOIN stemmed USING (word) GROUP BY doc_id) s USING (doc_id) WHERE l IS NOT NULL
+""")
+def stemmed_tokens(spark, t):
+    made = t("documents").where("text is not null").select("doc_id", stems.stems(tx.tokens(F.col("text"), keep=())).alias("s"))
+    return made.select("doc_id", F.array_join("s", " ").alias("stems"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+|[.,;:])'), lambda w: w NOT IN ('de', 'la', 'a', 'of')), ' ') AS tokens FROM documents")
 def token_pipeline(spark, t):
     return t("documents").select("doc_id", F.array_join(tx.tokens(F.col("text"), ("de", "la", "a", "of", "the"), ()), " ").alias("tokens"))
