@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistola.functions.columns import once
@@ -47,8 +47,7 @@ def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 7
     the distinct ids of a block that share enough characters (close_pairs), whatever their
     length. Without `sequence` only equal ids and key-word overlap count, all in the JVM.
     """
-    words = letters.withColumns({"subject__words": key_words(F.col("subject")), "body__words": key_words(F.col("body"))})
-    ids = words.where("trim(letter_id) != ''").select(*block, "id", F.trim("letter_id").alias("k"))
+    ids = letters.where("trim(letter_id) != ''").select(*block, "id", F.trim("letter_id").alias("k"))
     other = ids.select(*block, F.col("id").alias("other"), F.col("k").alias("k2"))
     first = ids.groupBy(*block, "k").agg(F.min("id").alias("other"))
     pairs = ids.join(first, [*block, "k"]).where("other < id").select("id", "other")
@@ -59,13 +58,35 @@ def duplicate_letters(letters: DataFrame, block: Sequence[str], least: float = 7
         close = ids.withColumn("a", F.lower("k")).join(near, [*block, "a"]).join(other.withColumn("b", F.lower("k2")), [*block, "b"]).where("other < id and k != k2")
         # with all points for date, subject and body
         pairs = pairs.union(close.where(F.col("near") * 40 + 60 >= least).select("id", "other"))
-    left = words.select(*[F.col(c).alias(f"n_{c}") for c in words.columns])
-    right = words.select(*[F.col(c).alias(f"o_{c}") for c in words.columns])
-    joined = pairs.join(left, pairs["id"] == left["n_id"]).join(right, pairs["other"] == right["o_id"])
+    left = letters.select(*[F.col(c).alias(f"n_{c}") for c in letters.columns])
+    right = letters.select(*[F.col(c).alias(f"o_{c}") for c in letters.columns])
+    return scored(pairs.join(left, pairs["id"] == left["n_id"]).join(right, pairs["other"] == right["o_id"]), least, sequence)
+
+
+def scored(pairs: DataFrame, least: float = 75.0, sequence: bool = True) -> DataFrame:
+    """original_id, new_id, score, detection_method of pairs of letters (columns n_* new, o_* original) with equal ids or a score from `least` on."""
+    worded = pairs.withColumns({f"{p}{c}__words": key_words(F.col(f"{p}{c}")) for p in ("n_", "o_") for c in ("subject", "body")})
     short, body = score("n_", "o_", sequence)
     part = F.col("id_points") + F.col("date_points") + F.col("subject_points")
     # whole bodies are compared only where their points can decide; once() keeps the filter in front of them
-    near = once(joined, short).where(F.col("id_match") | (F.bround(part + 15, 4) >= least))
-    scored = near.withColumn("score", F.bround(part + body, 4)).where((F.col("score") >= least) | F.col("id_match"))
+    near = once(worded, short).where(F.col("id_match") | (F.bround(part + 15, 4) >= least))
+    made = near.withColumn("score", F.bround(part + body, 4)).where((F.col("score") >= least) | F.col("id_match"))
     method = F.when(F.col("id_match"), "letter_id_match").when(F.col("score") >= 98, "high_similarity_match").otherwise("similarity_algorithm")
-    return scored.select(F.col("other").alias("original_id"), F.col("id").alias("new_id"), "score", method.alias("detection_method"))
+    return made.select(F.col("o_id").alias("original_id"), F.col("n_id").alias("new_id"), "score", method.alias("detection_method"))
+
+
+def letters_after_first(letters: DataFrame, block: Sequence[str], time: str = "ts", keep: str = "90 days") -> DataFrame:
+    """n_*, o_*: every letter with the first letter of its id, in the order of time and id.
+
+    An id that has not been seen for longer than `keep` begins anew. Letters without id stand alone. This is what the stream
+    of epistola.streaming.letters gives, however it is cut into batches.
+    """
+    given = letters.where("trim(letter_id) != ''").withColumn("__k", F.trim("letter_id"))
+    by = Window.partitionBy(*block, "__k").orderBy(time, "id")
+    gap = F.lag(time).over(by)
+    begun = F.sum((gap.isNull() | (F.col(time) > gap + F.expr(f"INTERVAL {keep}"))).cast("int")).over(by)
+    runs = given.withColumn("__run", begun)
+    names = [c for c in letters.columns]
+    first = F.first(F.struct(*names)).over(Window.partitionBy(*block, "__k", "__run").orderBy(time, "id"))
+    both = runs.withColumn("__o", first).where(F.col("__o.id") != F.col("id"))
+    return both.select(*[F.col(c).alias(f"n_{c}") for c in names], *[F.col(f"__o.{c}").alias(f"o_{c}") for c in names])
