@@ -20,20 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epistola.llm.common import map_rows, materialize, text_of
+from epistola.llm.common import fresh, map_rows, materialize, text_of
 from epistola.llm.urls import host_of
 
 #: Weight of a leaf's content against its parent's presentation, and the importance below which a branch goes.
 CONTENT_WEIGHT, LOW = 0.9, 0.35
 #: The same limit inside article and main, and the pages without repetition that are counted there beforehand.
 ARTICLE_LOW, ARTICLE_PRIOR = 0.2, 10
-#: Low styles are broadcast up to this many; beyond it they are joined by host over SALTS parts.
-BROADCAST_STYLES, SALTS = 200_000, 16
+#: Low styles are broadcast up to this many; beyond it each page's own are looked up by a join.
+BROADCAST_STYLES = 200_000
 
 #: Elements by role (fixed values).
 RAW = frozenset("script style title textarea noscript template iframe noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE = frozenset("head nav header footer aside form script style title noscript template iframe textarea button select option svg canvas object dialog menu label fieldset".split())
+NOISE = frozenset("head nav header footer aside form script style title noscript template iframe textarea option dialog menu fieldset".split())
+#: Elements whose content is no text and that stand inside a block without ending it.
+INLINE_NOISE = frozenset("button select svg canvas object label".split())
+#: Blocks of running text: inside article and main, their class, id or role is no verdict.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
 BLOCKS = frozenset(
     "html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption article section main blockquote pre figure figcaption address details summary hr center".split()
 ) | NOISE
@@ -73,8 +77,12 @@ def _noise_token(token: str) -> bool:
     return bool(words) and all(w.lower() in NOISE_WORDS for w in words)
 
 
-def _style(tag: str, attributes: str) -> tuple[str, bool]:
-    """Style name of an element (digits do not count) and whether its names mean noise."""
+def _style(tag: str, attributes: str, in_content: bool = False) -> tuple[str, bool]:
+    """Style name of an element (digits do not count) and whether its names mean noise.
+
+    A paragraph, heading, item or cell of an article may be called anything (related, reply, social): there the
+    tree decides, by what repeats over the site's pages.
+    """
     if not attributes or attributes.isspace():
         return tag, tag in NOISE
     name, noise = tag, tag in NOISE
@@ -83,7 +91,8 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
         if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
             noise = True
         elif key != "style":
-            noise = noise or (tag not in NEVER_NOISE and any(map(_noise_token, value.split())))
+            named = tag not in NEVER_NOISE and not (in_content and tag in TEXT_BLOCKS)
+            noise = noise or (named and any(map(_noise_token, value.split())))
             name += ("#" if key == "id" else ".") + re.sub(r"\d+", "0", value)
     return name, noise
 
@@ -102,6 +111,7 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
     text: list[str] = []
     quiet = 0  # open noise elements
     opened: Counter[str] = Counter()  # open elements by tag, so that what is not open is not looked for
+    unclosed: dict[str, int] = {}  # where inline noise elements without an end tag have been given up
 
     def flush() -> None:
         if text:
@@ -145,6 +155,14 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if not closing and tag not in IN_HEAD:
             leave_head()
+        if tag in INLINE_NOISE and not closing and not attributes.endswith("/") and unclosed.get(tag, at) <= at:
+            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
+            if end:
+                at = end.end()
+                text.append(" ")
+            else:
+                unclosed[tag] = size  # none further on either
+            continue
         if tag not in BLOCKS and tag not in RAW:
             if tag in VOID:
                 text.append(" ")
@@ -177,8 +195,8 @@ def blocks(html: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
         flush()
         if tag in VOID:
             continue
-        name, noise = _style(tag, attributes)
         parent = stack[-1]
+        name, noise = _style(tag, attributes, parent.content)
         parent.children.append(name)
         node = _Node(tag, _code(f"{parent.path}>{name}"), noise, (parent.content or tag in CONTENT) and not noise)
         stack.append(node)
@@ -221,8 +239,8 @@ def style_importance(pages: DataFrame, url: str = "url", html: str = "html") ->
 
         return work
 
-    source = pages.select(host_of(url).alias("host"), text_of(html).alias("__html"))
-    each = map_rows(source, ["__html"], [("features", _FEATURES), ("copy", T.LongType())], make, ["host"]).select("host", "copy", F.inline("features"))
+    source = pages.select(host_of(url).alias("host"), text_of(html).alias("body"))
+    each = map_rows(source, ["body"], [("features", _FEATURES), ("copy", T.LongType())], make, ["host"]).select("host", "copy", F.inline("features"))
     counted = each.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"))
     counted = materialize(counted, "styles")
     total = F.sum("n").cast("double")
@@ -248,23 +266,30 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float =
     counts as empty and gives an empty text; null urls share the host with the empty name;
     an empty table gives an empty table; columns with the names of new ones are replaced.
     """
-    styles = materialize(style_importance(pages, url, html).where(F.col("importance") < F.when(F.col("article"), min(ARTICLE_LOW, low)).otherwise(low)).select("host", "path"), "low-styles")
-    per_host = styles.groupBy(F.col("host").alias("__h")).agg(F.collect_set("path").alias("__low"))
-    source = pages.withColumns({"__host": host_of(url), "__html": text_of(html)})
+    least = F.when(F.col("article"), min(ARTICLE_LOW, low)).otherwise(low)
+    styles = materialize(style_importance(pages, url, html).where(F.col("importance") < least).select("host", "path").distinct(), "low-styles")
+    taken = [*pages.columns, "text", "n_chars"]
+    host, gone = fresh("host", taken), fresh("gone", taken)
+    source = pages.withColumns({host: host_of(url)})
+    shared = None
     if styles.count() <= BROADCAST_STYLES:
-        source = source.join(F.broadcast(per_host), F.col("__host") == F.col("__h"), "left")
+        by_host: dict[str, list[int]] = {}
+        for r in styles.toLocalIterator():
+            by_host.setdefault(r["host"], []).append(r["path"])
+        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(paths) for h, paths in by_host.items()})
+        source = source.withColumn(gone, F.lit(None).cast("array<bigint>"))
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        source = source.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(SALTS)))
-        source = source.join(per_host.withColumn("__s", salts), (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__s")), "left")
+        source = _with_low(source, styles, html, host, gone, taken)
 
     def make():
-        def work(bodies, lows):
+        known = shared.value if shared else {}
+
+        def work(bodies, hosts, lows):
             texts = []
-            for body, low_paths in zip(bodies, lows, strict=True):
-                low_paths = frozenset(low_paths or ())
+            for body, name, low_paths in zip(bodies, hosts, lows, strict=True):
+                cut = known.get(name, frozenset()) if shared else frozenset(low_paths or ())
                 found = blocks(body)[0]
-                kept = [t for path, _, _, t in found if path not in low_paths] or [t for _, _, content, t in found if content]
+                kept = [t for path, _, _, t in found if path not in cut] or [t for _, _, content, t in found if content]
                 texts.append("\n".join(kept))
             return [texts, [len(t) for t in texts]]
 
@@ -272,4 +297,20 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", low: float =
 
     new = [("text", T.StringType()), ("n_chars", T.LongType())]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    return map_rows(source, ["__html", "__low"], new, make, keep)
+    return map_rows(source, [text_of(f"`{html}`"), host, gone], new, make, keep)
+
+
+def _with_low(source: DataFrame, styles: DataFrame, html: str, host: str, gone: str, taken: list[str]) -> DataFrame:
+    """source with the low styles among each page's own: paths of pages and low styles are rows that meet by host and path."""
+
+    def make():
+        def work(bodies):
+            return [[sorted({path for path, *_ in blocks(body)[0]}) for body in bodies]]
+
+        return work
+
+    mark, place = fresh("mark", [*taken, host, gone]), F.struct(F.col(host), F.md5(text_of(f"`{html}`").cast("binary")))
+    rows = source.select(F.col(host).alias("host"), place.alias("mark"), text_of(f"`{html}`").alias("body")).dropDuplicates(["mark"])
+    paths = map_rows(rows, ["body"], [("paths", T.ArrayType(T.LongType()))], make, ["host", "mark"]).select("host", "mark", F.explode("paths").alias("path"))
+    found = paths.join(styles, ["host", "path"]).groupBy("mark").agg(F.collect_list("path").alias("paths"))
+    return source.withColumn(mark, place).join(found.select(F.col("mark").alias(mark), F.col("paths").alias(gone)), mark, "left").drop(mark)

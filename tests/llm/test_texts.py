@@ -137,6 +137,9 @@ def test_pages_of_the_test_table(spark, sf):
         ("<html><head><title>x</title><meta charset=a><body><p>Hi</body>", ["Hi"]),
         ("<head> <title>x</title> <b>Bold</b> t<p>y", ["Bold t", "y"]),
         ("<head><style>p{}</style>Plain", ["Plain"]),
+        ("<article><p class='related'>Related work is discussed.</p><li class=reply>A reply <div class='related'>n</div><div class=x><p id=social>s</div></article><p class='related'>n", ["Related work is discussed.", "A reply", "s"]),
+        ("<article><p>One <button class=b>Click</button>two <label>l</label>three<svg><text>q</text></svg> four<select><option>o</select>.</p></article>", ["One two three four ."]),
+        ("<p>a <button>b<p>c <button>d", ["a b", "c d"]),
     ],
 )
 def test_noise_words_and_open_heads_empty_no_page(given, kept):
@@ -162,6 +165,48 @@ def test_repeated_branches_inside_articles_go(spark):
     assert all(got[i].endswith("Subscribe now") for i in range(100, 103)) and all("Same text" in got[i] for i in range(200, 240))
 
 
+def plain_importance(pages, weight=0.9, prior=10):
+    """host -> path -> article -> importance, page by page in plain loops."""
+    seen, texts, shapes = set(), {}, {}
+    for host, body in pages:
+        found, nodes = html_text.blocks(body)
+        copy = (host, tuple((path, text) for path, _, _, text in found))
+        if copy in seen:
+            continue
+        seen.add(copy)
+        for path, parent, article, text in set(found):
+            texts.setdefault((host, path, parent, article), []).append(text)
+        for path, children in nodes:
+            shapes.setdefault((host, path), []).append(children)
+    out = {}
+    for (host, path, parent, article), said in texts.items():
+        m = len(said) + prior * article
+        content = 1 - np.mean([np.log(said.count(t)) for t in set(said)]) / np.log(m) if m > 1 else 1.0
+        lists = shapes.get((host, parent), [])
+        n = len(lists)
+        shares = [lists.count(x) / n for x in set(lists)]
+        shape = 0.0 if not n else -sum(p * np.log(p) for p in shares) / np.log(n) if n > 1 else 1.0
+        out[host, path, article] = (1 - weight) * shape + weight * content
+    return out
+
+
+def test_importances_equal_plain_loops(spark, sf):
+    made = [(f"http://h{i % 3}.example/{i}", page(i % 7, body=f"<p>Own {i}</p><p class='more'>More {i % 2}</p>") + f"<div class='end'>Same<ul><li>{i % 4}</ul></div>") for i in range(40)]
+    made += [(f"http://h1.example/{r.page_id}", r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages = spark.createDataFrame(made, "url string, html string")
+    got = {(r.host, r.path, r.article): r.importance for r in html_text.style_importance(pages).collect()}
+    want = plain_importance([(u.split("/")[2], b) for u, b in made])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and min(got.values()) < 0.35
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__host", "__html", "__low", "__h", "host", "gone", "mark", "body", "paths"]
+    rows = [(i, f"http://s.example/{i}", f"<div class='top'>Welcome</div><p>Own {i * 7919}</p>", *[f"{n}{i}" for n in names]) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    for r in html_text.extract(pages).collect():
+        assert r.text == f"Own {r.page_id * 7919}" and [r[n] for n in names] == [f"{n}{r.page_id}" for n in names]
+
+
 # ---- urls
 
 
