@@ -549,7 +549,7 @@ def flagship_classify(spark, t):
 
 # ---- whole jobs and reports, with their SQL beside them
 
-from epistola import catalog_jobs  # noqa: E402
+from epistola import catalog_files, catalog_jobs  # noqa: E402, F401
 
 QUERIES |= catalog_jobs.QUERIES
 ORACLES |= catalog_jobs.ORACLES

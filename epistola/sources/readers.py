@@ -98,7 +98,7 @@ def files(spark: SparkSession, folder: str, patterns: Sequence[str] = ("*.pdf",)
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, text of the .txt and .text files under a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,text}").text(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,text}").select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
 def is_zip(content: Column) -> Column:
