@@ -12,8 +12,8 @@ from epistola.catalog_jobs import query
 from epistola.functions import domains, values
 from epistola.functions import text as tx
 from epistola.operators import documents, duplicates, evaluation, labels, vectors
-from epistola.oracles import EDGES, NEAR, SPACE, TRAINING, named_categories, q, rx
-from epistola.plans import classify
+from epistola.oracles import EDGES, ISSUES, LABELS, NEAR, TRAINING, named_categories, q, typed
+from epistola.plans import classify, jobs
 from epistola.session import scratch
 from epistola.sources import readers, writers
 from epistola.sources.index import VectorIndex
@@ -415,3 +415,36 @@ def letters_after_first(spark, t):
     """Each letter with the first of its reference, as the stream of letters gives it; a reference begins anew after 90 days."""
     found = duplicates.letters_after_first(_sent(t), ["project"])
     return found.select(F.col("n_id").alias("new_id"), F.col("o_id").alias("original_id"))
+
+
+#: What some documents begin with, so that they are of a type.
+_OPENINGS = {0: "This Agreement is entered into by the parties. The terms and conditions, the scope of work and contract value: rs. 5 follow. Work order # 7a", 1: "Minutes of the meeting. Agenda item 1. Attendees: all present"}
+_PAGED = f"""(SELECT conv_id AS doc_id, turn + 1 AS page, CASE WHEN turn = 0 AND conv_id % 4 = 0 THEN {q(_OPENINGS[0])} || chr(10) || text WHEN turn = 0 AND conv_id % 4 = 1 THEN {q(_OPENINGS[1])} || chr(10) || text
+  WHEN turn % 5 = 3 THEN 'Intro' || chr(10) || '  ARTICLE 19 ' || chr(10) || text ELSE text END AS text FROM conversations)"""
+_CONTRACT = " OR ".join(f"regexp_matches(text, {q('(?i)' + p)})" for p in domains.DOCUMENT_PATTERNS["contract_agreements"][:4])
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, page, coalesce(text, '') AS text FROM {_PAGED}),
+t AS ({typed("(SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS total_pages FROM p GROUP BY doc_id)", False)}),
+h AS (SELECT doc_id, page, text, lag(hit, 1, false) OVER (PARTITION BY doc_id ORDER BY page) AS before, hit FROM (SELECT *, {_CONTRACT} AS hit FROM p)),
+c AS (SELECT h.doc_id, h.page, h.text FROM h JOIN t USING (doc_id) WHERE CASE WHEN doc_type = 'contract_agreements' THEN page <= 2 OR hit OR before ELSE page <= 5 END),
+r AS (SELECT doc_id, string_agg('Page ' || page || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS used_pages FROM c GROUP BY doc_id)
+SELECT doc_id, doc_type, confidence AS type_confidence, total_pages, used_pages, round_even(used_pages::DOUBLE / total_pages, 4) AS compression_ratio, r.text AS text, confidence AS overall_confidence, 'type,pages,text' AS services FROM t JOIN r USING (doc_id)
+""")
+def processed_pages(spark, t):
+    """Conversations as documents of pages, some of which begin like a contract or minutes: type, then pages, then text."""
+    said = t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text")
+    first, kind = F.col("page") == 1, F.col("doc_id") % 4
+    begun = F.when(first & (kind == 0), F.concat(F.lit(_OPENINGS[0] + "\n"), "text")).when(first & (kind == 1), F.concat(F.lit(_OPENINGS[1] + "\n"), "text"))
+    pages = said.withColumn("text", begun.when(F.col("page") % 5 == 4, F.concat(F.lit("Intro\n  ARTICLE 19 \n"), "text")).otherwise(F.col("text")))
+    made = jobs.process_pages(pages, fields=False, classified=False)
+    return made.withColumn("services", F.array_join("services_used", ",")).drop("services_used")
+
+
+@query()
+def processed_letters(spark, t):
+    """The same with fields and categories."""
+    pages = t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text")
+    edges = spark.createDataFrame([(i, c) for i, c in LABELS], "issue_type string, category string")
+    return jobs.process_pages(pages, ISSUES, edges)

@@ -196,6 +196,18 @@ def important_pages(pages: DataFrame, kind: str, key: str = "doc_id", page: str
     return pages.withColumns({"__hit": F.coalesce(hit, F.lit(False)), "__before": before}).where((F.col(page) <= 2) | F.col("__hit") | F.col("__before")).select(key, page)
 
 
+def chosen_pages(pages: DataFrame, kind: str = "doc_type", key: str = "doc_id", page: str = "page", text: str = "text", first: int = 5) -> DataFrame:
+    """The pages worth reading by each document's own type in column `kind`, whole rows: pages are numbered from 1.
+
+    Contracts: the first two, pages with a section header and the one behind each; any other type: the first five.
+    """
+    hit = F.coalesce(tx.patterns_found(F.col(text), domains.DOCUMENT_PATTERNS["contract_agreements"][:4]) > 0, F.lit(False))
+    before = F.lag(hit, 1, False).over(Window.partitionBy(key).orderBy(page))
+    contract = F.col(kind) == "contract_agreements"
+    wanted = F.when(contract, (F.col(page) <= 2) | hit | before).otherwise(F.col(page) <= first)
+    return pages.withColumn("__wanted", wanted).where("__wanted").drop("__wanted")
+
+
 # ---- letters
 
 

@@ -280,9 +280,9 @@ SELECT doc_id, issue_type, {cut("e")} AS evidence FROM (SELECT doc_id, issue_typ
 """
 
 
-def length_bonus(kind: str, n: str) -> str:
+def length_bonus(kind: str, n: str, pages: str = "0") -> str:
     return {
-        "contract_agreements": f"CASE WHEN {n} > 50000 THEN 1.5 WHEN {n} > 20000 THEN 0.5 ELSE -1.0 END",
+        "contract_agreements": f"CASE WHEN {pages} > 200 THEN 3.0 WHEN {pages} > 100 THEN 1.0 WHEN {n} > 50000 THEN 1.5 WHEN {n} > 20000 THEN 0.5 ELSE -1.0 END",
         "correspondence": f"CASE WHEN {n} BETWEEN 500 AND 8000 THEN 1.0 WHEN {n} > 15000 THEN -0.3 ELSE 0.2 END",
         "meeting_minutes": f"CASE WHEN {n} BETWEEN 2000 AND 15000 THEN 0.8 WHEN {n} < 1000 THEN -0.5 ELSE 0 END",
         "technical_drawings": f"CASE WHEN {n} < 2000 THEN 0.5 ELSE 0 END",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistola.functions import values
-from epistola.operators import evaluation, labels
+from epistola.operators import documents, evaluation, labels
+from epistola.plans import classify
 from epistola.plans.classify import Config
 
 ANSWER = "issues array<struct<issue_type:string,confidence:double,evidence:string>>"
@@ -102,6 +103,39 @@ def orchestrate(docs: DataFrame, services: Mapping[str, Service], only: Sequence
     return docs.withColumn("services_used", F.array(*[F.lit(n) for n in chosen]).cast("array<string>"))
 
 
+def process_pages(
+    pages: DataFrame, issues: Sequence[tuple[str, Sequence[str]]] = (), edges: DataFrame | None = None, key: str = "doc_id", page: str = "page", text: str = "text", fields: bool = True, classified: bool = True
+) -> DataFrame:
+    """One record per document from its pages(key, page from 1, text): type, pages, text, fields, categories, in that order.
+
+    The type of the whole document chooses the pages, and only those make the text that fields and categories
+    come from. key, doc_type, type_confidence, total_pages, used_pages, compression_ratio, text (pages numbered),
+    with fields subject, body, extraction_method, with classified categories and classification_confidence, then
+    overall_confidence (mean of the positive scores) and services_used. A document's pages meet in one row.
+    """
+    joined = lambda d, body: d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, body.alias("b")))).alias("l"))
+    together = lambda sep: F.array_join(F.transform("l", lambda x: x["b"]), sep)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    whole = joined(pages, plain).select(key, together("\n\n").alias("__whole"), F.size("l").cast("long").alias("total_pages"))
+    typed = documents.document_type(whole, "__whole", pages=F.col("total_pages")).select(key, "total_pages", "doc_type", F.col("confidence").alias("type_confidence"))
+    chosen = documents.chosen_pages(pages.join(typed.select(key, "doc_type"), key), "doc_type", key, page, text)
+    numbered = F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(":\n"), plain)
+    read = joined(chosen, numbered).select(key, together("\n\n").alias("text"), F.size("l").cast("long").alias("used_pages"))
+    out = typed.join(read, key).withColumn("compression_ratio", F.bround(F.col("used_pages") / F.col("total_pages"), 4))
+    scores, services = [F.col("type_confidence")], ["type", "pages", "text"]
+    if fields:
+        out = documents.letters(out).drop("full_text")
+        scores.append(F.when(F.col("subject") != "", 0.8).otherwise(0.4))
+        services.append("fields")
+    if classified and edges is not None:
+        found = classify.rule_issues(out.select(key, "text"), issues, key)
+        mapped = found.join(edges.select("issue_type", "category").distinct(), "issue_type").groupBy(key).agg(F.sort_array(F.collect_set("category")).alias("categories"), F.bround(F.max("confidence"), 6).alias("classification_confidence"))
+        out = out.join(mapped, key, "left").withColumns({"categories": F.coalesce("categories", F.array().cast("array<string>")), "classification_confidence": F.coalesce("classification_confidence", F.lit(0.0))})
+        scores.append(F.col("classification_confidence"))
+        services.append("categories")
+    return out.withColumns({"overall_confidence": F.bround(overall_confidence(F.array(*scores)), 6), "services_used": F.array(*[F.lit(n) for n in services])})
+
+
 def batch_job(results: DataFrame, truth: DataFrame, files: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A folder's report, one row per file, and its overall figures.
 

@@ -78,3 +78,16 @@ def test_batch_job(spark):
     rows = {r.doc_id: (r.status, r.confidence, r.predicted, r.tp, r.fp, r.fn) for r in report.collect()}
     assert rows == {1: ("success", 0.7, "a; b", 1, 1, 0), 2: ("failed", 0.0, "", 0, 0, 1), 3: ("success", 0.4, "a", None, None, None)}
     assert figures.first().files == 2 and figures.first().tp == 1
+
+
+def test_a_document_s_type_chooses_its_pages(spark):
+    contract = [(1, i, "This Agreement is entered into. terms and conditions scope of work contract agreement clause" if i == 1 else "\nARTICLE 19\n" if i in (6, 9) else f"page {i}") for i in range(1, 12)]
+    minutes = [(2, i, "Minutes of the meeting. Agenda. Attendees" if i == 1 else f"page {i}") for i in range(1, 9)]
+    letter = [(3, 1, "Subject: Delay of the payment of bills\nDear Sir,\nThe works were with the crew for a while and the payment is late.\nYours faithfully"), (3, 2, None)]
+    pages = spark.createDataFrame(contract + minutes + letter, "doc_id long, page long, text string")
+    edges = spark.createDataFrame([("Late payment", "Payments")], "issue_type string, category string")
+    got = {r.doc_id: r for r in jobs.process_pages(pages, [("Late payment", ("payment", "late"))], edges).collect()}
+    assert got[1].doc_type == "contract_agreements" and got[1].used_pages == 6 and "Page 10:" in got[1].text and "Page 3:" not in got[1].text and got[1].total_pages == 11
+    assert got[2].used_pages == 5 and got[2].compression_ratio == 0.625 and got[2].categories == []
+    assert got[3].categories == ["Payments"] and got[3].subject.startswith("Delay of the payment") and got[3].services_used == ["type", "pages", "text", "fields", "categories"]
+    assert got[3].overall_confidence > 0 and jobs.process_pages(pages.limit(0)).count() == 0
