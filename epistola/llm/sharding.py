@@ -44,7 +44,7 @@ def shard(
     """Deal rows into shards by key alone and number each shard's rows without gaps.
 
     Returns key, size, text_crc32, law, shard, slot, grown_shard. grown_shard is the shard
-    when one more of grown_weight joins. A null key is one key of its own, a null text has
+    when one more of grown_weight joins. A null key counts as the text null, a null text has
     size 1 and checksum 0; repeated keys share a shard and get slots of their own; an empty
     table gives an empty table; other columns are ignored. Slots follow (bucket, key,
     checksum, size), so equal input gives equal slots.

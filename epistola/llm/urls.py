@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,13 @@ from epistola.llm.common import discard, materialize
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Where a link begins, and its host in what follows up to the next one, so that the time grows with the text.
+#: Where a link begins, and its address in what follows up to the next one, so that the time grows with the text; the page's own base.
 _ANCHOR = r"(?i)<a\s"
-_LINK = r"""(?i)^(?:[^>]*?\s)?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+_HREF = r"""(?i)^(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?i)<base\s(?:[^>]*?\s)?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_AUTHORITY, _SCHEME = r"(?i)^(?:https?:)?//([^/?#]+)", r"(?i)^[a-z][a-z0-9+.-]*:"
+#: Character references by name that may stand in an address (fixed values).
+NAMED = {"&colon;": ":", "&sol;": "/", "&period;": ".", "&commat;": "@", "&num;": "#", "&quest;": "?", "&equals;": "=", "&amp;": "&"}
 #: Share of a score that each link step passes on, the change at which the steps end and their most, and the distrust or leaning from which a host is blocked.
 DAMPING, TOLERANCE, STEPS, LIMIT = 0.85, 1e-5, 200, 0.5
 STEPS_PER_WRITE = 5
@@ -40,12 +45,37 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return choice
 
 
+def decoded(address: Column) -> Column:
+    """An address with its character references (numbers below 128, and NAMED) replaced."""
+    def put(text: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "([0-9a-fA-F]+)$", 1)
+        code = F.when(F.lower(reference).contains("x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        return F.when(code.between(33, 126), F.replace(text, F.concat(reference, F.lit(";")), F.char(code))).otherwise(text)
+
+    references = F.array_distinct(F.regexp_extract_all(address, F.lit("(?i)(&#(?:x0{0,4}[0-9a-f]{1,2}|0{0,4}[0-9]{1,3}));"), F.lit(1)))
+    out = F.aggregate(references, address, put)
+    for name, sign in NAMED.items():
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.when(F.contains(address, F.lit("&")), out).otherwise(address)
+
+
+def _authority(address: Column) -> Column:
+    return F.translate(F.regexp_replace(F.regexp_extract(address, _AUTHORITY, 1), "^[^@]*@", ""), UPPER, LOWER)
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """from, to, n: absolute and protocol-relative links between different hosts, counted (relative ones stay on their host)."""
-    pieces = F.split(F.coalesce(F.col(html), F.lit("")), _ANCHOR)
-    after = pages.where(F.contains(F.col(html), F.lit("//"))).select(host_of(url).alias("from"), F.explode(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("piece"))
-    found = after.select("from", F.regexp_extract("piece", _LINK, 1).alias("name"))
-    named = found.select("from", F.translate(F.regexp_replace("name", "^[^@]*@", ""), UPPER, LOWER).alias("to"))
+    """from, to, n: links between different hosts, counted: absolute and protocol-relative ones, and relative ones of pages with a base on another host."""
+    body = F.coalesce(F.col(html), F.lit(""))
+    pieces = F.split(body, _ANCHOR)
+    # one row per page first, so that no page is carried along with each of its links
+    each = pages.where(body.rlike(_ANCHOR)).select(
+        host_of(url).alias("from"), _authority(decoded(F.regexp_extract(body, _BASE, 1))).alias("base"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("pieces")
+    )
+    rows = each.select("from", "base", F.explode("pieces").alias("piece"))
+    found = rows.select("from", "base", decoded(F.regexp_extract("piece", _HREF, 1)).alias("to")).where("`to` != ''")
+    absolute = _authority(F.col("to"))
+    relative = (F.col("base") != "") & ~F.col("to").rlike(_SCHEME) & ~F.startswith("to", F.lit("//"))
+    named = found.select("from", F.when(relative, F.col("base")).otherwise(absolute).alias("to"))
     return named.where("`from` != '' and `to` != '' and `from` != `to`").groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -87,6 +117,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
             before = scores
             if moved is None or moved < tolerance:
                 break
+    else:
+        # what is left changes by less than damping ** steps
+        warnings.warn(f"scores still move by {tolerance} after {steps} steps", RuntimeWarning, stacklevel=2)
     return scores
 
 

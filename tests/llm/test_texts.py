@@ -260,6 +260,91 @@ def test_links_of_very_long_pages(spark):
     assert {(r["from"], r["to"], r["n"]) for r in got} == {("x.info", "late.info:80", 1)}
 
 
+def plain_judge(rows, steps=400):
+    """The whole of judge() in plain loops: links by the standard library's parser, scores by repeated sums."""
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.base, self.found = "", []
+
+        def handle_starttag(self, tag, attrs):
+            href = dict(attrs).get("href")
+            if tag == "base" and href and not self.base:
+                self.base = urlsplit(href).netloc.lower()
+            if tag == "a" and href:
+                parts = urlsplit(href.strip())
+                if parts.netloc and parts.scheme in ("", "http", "https"):
+                    self.found.append(parts.netloc.rpartition("@")[2].lower())
+                elif not parts.scheme and not parts.netloc:
+                    self.found.append(None)
+
+    def place(url):
+        if not url or "://" not in url:
+            return "", ""
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+        return m[1].lower(), m[2]
+
+    judged, edges, seeds = [], {}, {}
+    for key, url, body in rows:
+        host, path = place(url)
+        fits = [(len(r), r, v) for v, r in urls.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        judged.append((key, host, path, *(max(fits)[1:] if fits else (None, None))))
+        parser = Links()
+        parser.feed(body or "")
+        for to in parser.found:
+            to = parser.base if to is None else to
+            if host and to and to != host:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    for _, host, _, _, verdict in judged:
+        if host:
+            seeds.setdefault(host, []).append(verdict)
+    start = {h: [v.count("allow") / len(v), v.count("block") / len(v), v.count("block") / len(v)] for h, v in seeds.items()}
+    out, into = {}, {}
+    for (a, b), n in edges.items():
+        out[a], into[b] = out.get(a, 0) + n, into.get(b, 0) + n
+    scores = start
+    for _ in range(steps):
+        new = {h: list(s) for h, s in start.items()}
+        for (a, b), n in edges.items():
+            x, y = scores.get(a, [0, 0, 0]), scores.get(b, [0, 0, 0])
+            new.setdefault(b, [0, 0, 0])[0] += 0.85 * x[0] * n / out[a]
+            mine = new.setdefault(a, [0, 0, 0])
+            mine[1] += 0.85 * y[1] * n / into[b]
+            mine[2] += 0.85 * y[2] * n / out[a]
+        scores = new
+    made = []
+    for key, host, path, rule, verdict in judged:
+        trust, distrust, leaning = scores.get(host, [0, 0, 0])
+        bad = max(distrust, leaning) >= 0.5 and max(distrust, leaning) > trust
+        made.append((key, host, path, rule, verdict or ("block" if bad else "allow")))
+    return sorted(made, key=str)
+
+
+def test_the_whole_judgement_equals_plain_loops(spark, sf):
+    r = random.Random(6)
+    hosts = ["spam.org", "a.spam.org", "good.net", "shop.com", "blog.example", "farm1.info", "farm2.info", "news.info", "x.example.net", "read1.info", "read2.info"]
+    rows = []
+    for i in range(160):
+        host = r.choice(hosts)
+        path = r.choice(["/es/x", "/de/8", "/en/7", "/", "/about?q=/es/"])
+        targets = ["spam.org", "a.spam.org", "farm1.info"] if "farm" in host or host == "blog.example" else ["good.net", "read1.info"] if "read" in host else hosts
+        body = "".join(r.choice(["<a href='http://{0}/p'>x</a>", "<A class=b HREF=//{0}/>y</A>", "<a href='http&#58;//{0}/'>", "<a href=\"https&#x3A;&sol;&#47;{0}?a=1&amp;b=2\">z", "<a href='/rel'>r</a>", "<a href='mailto:me@x.org'>m", "<a name=q>n</a>"]).format(r.choice(targets)) for _ in range(r.randint(0, 4)))
+        if i % 9 == 0:
+            body = f"<head><base target=_top href='https&colon;//{r.choice(targets)}/d/'></head>" + body + "<a href='page'>b</a>"
+        rows.append((i, f"http://{host}{path}", body))
+    rows += [(900, None, "<a href='http://spam.org/'>"), (901, "no scheme", None), (0, "http://spam.org/es/x", "")]
+    rows += [(1000 + r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in urls.judge(pages).collect()), key=str)
+    want = plain_judge(rows)
+    assert got == want
+    free = [x for x in want if x[3] is None and x[0] < 900]
+    assert {x[4] for x in free} == {"allow", "block"}, "links decide some"
+
+
 def test_farms_of_one_blocked_host_are_blocked(spark):
     rows = [(0, "http://bad.com/en/1", "")] + [(i, f"http://farm{i}.info/", f"<a href='//Bad.com/{i}'>x</a>") for i in range(1, 11)]
     rows += [(20, "http://second.info/", "<a href=//farm1.info/>x</a>"), (21, "http://blog.info/", "<a href='http://bad.com/'>x</a>" + "".join(f"<a href='http://other{i}.info/'>y</a>" for i in range(9)))]
