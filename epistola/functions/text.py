@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import re._constants as _constants
+import re._parser as _parser
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -98,10 +101,26 @@ def hits(c: Column, phrases: Sequence[str]) -> Column:
     return total
 
 
-def patterns_found(c: Column, patterns: Sequence[str], flags: str = "(?i)") -> Column:
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds, in lower case; '' if there is none of three or more."""
+    best, run = "", ""
+    try:
+        parts = _parser.parse(pattern)
+    except re.error:  # a pattern that only Java knows
+        return ""
+    for op, value in parts:
+        plain = op is _constants.LITERAL and value < 128
+        run = run + chr(value).lower() if plain else ""
+        best = max(best, run, key=len)
+    return best if len(best) > 2 else ""
+
+
+def patterns_found(c: Column, patterns: Sequence[str], flags: str = "(?i)", low: Column | None = None) -> Column:
+    """How many of the patterns occur in c. With low, c in lower case, a pattern is tried only where the characters that it needs stand."""
     total = F.lit(0)
     for p in patterns:
-        total = total + F.rlike(c, F.lit(flags + p)).cast("int")
+        found, needed = F.rlike(c, F.lit(flags + p)), required_literal(p) if low is not None else ""
+        total = total + (F.when(F.contains(low, F.lit(needed)), found).otherwise(F.lit(False)) if needed else found).cast("int")
     return total
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epistola.functions import domains
 from epistola.functions import text as tx
@@ -34,6 +38,22 @@ def repetition(docs: DataFrame, text: str = "text", n: int = 1) -> DataFrame:
     return step.select(*docs.columns, "total", F.col("__m.value").alias("value"), F.col("__m.n").alias("n"), share.alias("ratio"))
 
 
+_WORDS, _FILLERS = re.compile(r"\w+"), frozenset(domains.FILLER_WORDS)
+_COUNTS = ("total_words", "unique_words", "meaningful_words", "__word_n", "__n_phrases", "__phrase_n")
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in _COUNTS]))
+def _word_counts(texts: pd.Series) -> pd.DataFrame:
+    """Counts of lower-case texts: words, distinct ones, meaningful ones, the most frequent one, three-word phrases, the most frequent one."""
+    rows = []
+    for text in texts:
+        words = _WORDS.findall(text)
+        seen, phrases = Counter(words), Counter(zip(words, words[1:], words[2:], strict=False))
+        meaningful = sum(n for w, n in seen.items() if len(w) > 2 and w not in _FILLERS)
+        rows.append((len(words), len(seen), meaningful, max(seen.values(), default=0), max(len(words) - 2, 0), max(phrases.values(), default=0)))
+    return pd.DataFrame(rows, columns=_COUNTS)
+
+
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """Append the quality columns: counts and ratios, the four failures, score and is_quality.
 
@@ -45,33 +65,28 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     first = once(
         docs,
         {
-            "__w": tx.words(body),
+            "__c": _word_counts(F.lower(body)),
             "__lines": F.filter(F.transform(F.split(body, "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != ""),
             "text_length": F.length(stripped),
-            "artifacts": tx.patterns_found(F.lower(body), domains.SCAN_PATTERNS, ""),
+            "artifacts": tx.patterns_found(F.lower(body), domains.SCAN_PATTERNS, "", low=F.lower(body)),
             "__odd": stripped.rlike(r"^[^\p{L}\p{N}_]*$") | stripped.rlike(r"^\d+$") | stripped.rlike(r"^[a-z\s]*$") | stripped.rlike(r"^[A-Z\s]*$"),
         },
     )
     second = once(
         first,
         {
-            "total_words": F.size("__w"),
-            "unique_words": F.size(F.array_distinct("__w")),
-            "meaningful_words": F.size(F.filter("__w", lambda w: (F.length(w) > 2) & ~w.isin(*domains.FILLER_WORDS))),
-            "__word": most_frequent(F.col("__w")),
-            "__s": tx.shingles(F.col("__w")),
+            **{n: F.col("__c")[n] for n in _COUNTS},
             "__line": most_frequent(F.col("__lines")),
             "__n_lines": F.size("__lines"),
         },
     )
-    third = once(second, {"__phrase": most_frequent(F.col("__s")), "__n_phrases": F.size("__s")})
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    fourth = third.withColumns(
+    fourth = second.withColumns(
         {
             "word_diversity": share("unique_words", "total_words"),
             "filler_ratio": F.when(F.col("total_words") == 0, 1.0).otherwise((F.col("total_words") - F.col("meaningful_words")) / F.col("total_words")),
-            "repetition_ratio": share("__word.n", "total_words"),
-            "phrase_ratio": share("__phrase.n", "__n_phrases"),
+            "repetition_ratio": share("__word_n", "total_words"),
+            "phrase_ratio": share("__phrase_n", "__n_phrases"),
             "too_short": F.col("text_length") < domains.MIN_CHARS,
             "has_artifacts": (F.col("artifacts") > 0) | ((F.col("__line.n") > 3) & (F.col("__line.n") / F.col("__n_lines") > 0.6)),
         }
@@ -163,7 +178,7 @@ def document_type(docs: DataFrame, text: str = "text", pages: Column | None = No
     base = once(docs, {"__low": F.lower(body), "__n": F.length(body), "__pages": pages, "__stem": stem})
     score = {}
     for kind, (_, keywords, names) in domains.DOCUMENT_TYPES.items():
-        total = tx.hits(F.col("__low"), keywords) + 3 * tx.patterns_found(body, domains.DOCUMENT_PATTERNS[kind])
+        total = tx.hits(F.col("__low"), keywords) + 3 * tx.patterns_found(body, domains.DOCUMENT_PATTERNS[kind], low=F.col("__low"))
         if file_name is not None:
             total = total + 2 * tx.hits(F.col("__stem"), names)
         score[kind] = total + _length_bonus(kind, F.col("__n"), F.col("__pages"))
