@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from epistola.catalog_jobs import query
 from epistola.functions import domains, values
 from epistola.functions import text as tx
-from epistola.operators import documents, duplicates, evaluation, labels, vectors
+from epistola.operators import documents, duplicates, evaluation, labels, samples
 from epistola.oracles import EDGES, ISSUES, LABELS, NEAR, TRAINING, named_categories, q, typed
 from epistola.plans import classify, jobs
 from epistola.session import scratch
@@ -448,3 +448,35 @@ def processed_letters(spark, t):
     pages = t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text")
     edges = spark.createDataFrame([(i, c) for i, c in LABELS], "issue_type string, category string")
     return jobs.process_pages(pages, ISSUES, edges)
+
+
+# ---- synthetic samples
+
+_TEMPLATES = ("The {part} of the works is late: {issue}.", "We refer to {issue} at the {place}.", "{issue}: the {part} at the {place} is not in line with the contract.")
+_VALUES = {"part": ("bridge", "flyover", "culvert", "road"), "place": ("north section", "junction", "toll plaza")}
+_QUOTAS = """(SELECT issue_type, category, n, whole + CASE WHEN row_number() OVER (PARTITION BY issue_type ORDER BY rest DESC, category) <= lacks - sum(whole) OVER (PARTITION BY issue_type) THEN 1 ELSE 0 END AS quota FROM (
+  SELECT *, n * lacks // everything AS whole, n * lacks % everything AS rest FROM (
+    SELECT p_brand AS issue_type, p_type AS category, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_brand)::BIGINT AS everything, greatest(100 - sum(count(*)) OVER (PARTITION BY p_brand), 0)::BIGINT AS lacks FROM part GROUP BY p_brand, p_type)))"""
+
+
+def _lacking(t):
+    return samples.quotas(t("part").select(F.col("p_brand").alias("issue_type"), F.col("p_type").alias("category")), 100)
+
+
+@query(f"SELECT issue_type, category, n, quota::BIGINT AS quota FROM {_QUOTAS}")
+def sample_quotas(spark, t):
+    return _lacking(t)
+
+
+def _dealt(options, slot: str) -> str:
+    return f"list_transform(list_sort(list_transform([{', '.join(map(q, options))}], lambda v: {{'k': md5(issue_type || '|' || category || '|{slot}|42|' || v), 'v': v}})), lambda x: x.v)[(sample - 1) % {len(options)} + 1]"
+
+
+_FILLED = _dealt(_TEMPLATES, "template")
+for _slot, _options in _VALUES.items():
+    _FILLED = f"replace({_FILLED}, '{{{_slot}}}', {_dealt(_options, _slot)})"
+
+
+@query(f"SELECT issue_type, category, sample, replace({_FILLED}, '{{issue}}', issue_type) AS body FROM (SELECT *, unnest(range(1, quota + 1))::INT AS sample FROM {_QUOTAS})")
+def sample_variations(spark, t):
+    return samples.variations(_lacking(t), _TEMPLATES, _VALUES)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epistola.functions import domains, similarity, values
 from epistola.functions.text import comma_list
 from epistola.operators.fuzzy import close_pairs
+from epistola.session import stored
 
 # ---- normalisation
 
@@ -28,6 +29,8 @@ def normalize_category(df: DataFrame, column: str = "category", strict: bool = F
         own = overlay.select("variant", F.col("category").alias("__own"))
         variants = variants.join(own, "variant", "full").select("variant", F.coalesce("__own", "category").alias("category"))
     distinct = df.select(F.col(column).alias("__v")).distinct().withColumns({"__t": F.trim("__v"), "__l": F.lower(F.trim("__v"))})
+    # the values are few beside the rows, and the closest names are looked up among them in Python: they are made once
+    distinct = stored(distinct, "values") if fuzzy else distinct
     known = distinct.join(variants.select(F.col("variant").alias("__l"), F.col("category").alias("__known")), "__l", "left")
     lower = {c.lower(): c for c in domains.CATEGORIES}
     exact = F.when(F.col("__t").isin(*domains.CATEGORIES), F.col("__t"))

@@ -136,8 +136,8 @@ def extract_fields(answers: DataFrame, fields: Sequence[str], answer: str = "ans
     return out
 
 
-def prompt(docs: DataFrame, allowed: DataFrame, column: str, text: str = "text", context: int = 2500) -> DataFrame:
-    """Append prompt: the text's beginning and the allowed labels, which come as one joined list (a dictionary, not data)."""
+def prompt(docs: DataFrame, allowed: DataFrame, column: str, text: str = "text", context: int | None = 2500) -> DataFrame:
+    """Append prompt: the text's first `context` characters (None: all of it) and the allowed labels, which come as one joined list (a dictionary, not data)."""
     names = allowed.agg(F.array_join(F.sort_array(F.collect_set(column)), "\n- ").alias("__names"))
-    said = F.concat(F.lit("Use only these labels:\n- "), "__names", F.lit("\n\nDocument:\n"), F.left(text, F.lit(context)))
+    said = F.concat(F.lit("Use only these labels:\n- "), "__names", F.lit("\n\nDocument:\n"), F.left(text, F.lit(context)) if context is not None else F.col(text))
     return docs.join(F.broadcast(names)).withColumn("prompt", said).drop("__names")

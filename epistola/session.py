@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "epistola", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +52,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return folder
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once to shared storage and read again: what is used several times is computed once, and a lost executor costs a reread."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -91,3 +91,16 @@ def test_a_document_s_type_chooses_its_pages(spark):
     assert got[2].used_pages == 5 and got[2].compression_ratio == 0.625 and got[2].categories == []
     assert got[3].categories == ["Payments"] and got[3].subject.startswith("Delay of the payment") and got[3].services_used == ["type", "pages", "text", "fields", "categories"]
     assert got[3].overall_confidence > 0 and jobs.process_pages(pages.limit(0)).count() == 0
+
+
+def test_quotas_are_exact_and_nothing_is_reused_too_early(spark):
+    from epistola.operators import samples
+
+    rows = [("a", "x")] * 3 + [("a", "y")] * 3 + [("a", "x, y")] + [("b", "x")] * 12 + [("c", None)]
+    made = samples.quotas(spark.createDataFrame(rows, "issue_type string, category string"), 12)
+    assert {(r.issue_type, r.category): r.quota for r in made.collect()} == {("a", "x"): 2, ("a", "y"): 2, ("a", "x, y"): 1, ("b", "x"): 0, ("c", None): 11}
+    assert {r.quota for r in samples.quotas(spark.createDataFrame(rows, "issue_type string, category string"), 12, least=2).collect()} == {2, 11}
+    texts = samples.variations(made.fillna({"category": "none"}), ["{issue} {a}", "x {a} y"], {"a": ["1", "2", "3"]}).collect()
+    mine = [r.body for r in sorted(texts, key=lambda r: r.sample) if r.issue_type == "c"]
+    assert len(mine) == 11 and len(set(mine[:6])) == 6 and all({m.split()[0] for m in mine[i : i + 2]} == {"c", "x"} for i in range(0, 10, 2))
+    assert samples.quotas(spark.createDataFrame([], "issue_type string, category string"), 5).count() == 0
