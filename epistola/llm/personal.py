@@ -345,6 +345,10 @@ _SPELLED = re.compile(r"[\w.%+-]+( dot [\w.%+-]+)*(@| ?[\[(]at[\])] ?| at )[\w-]
 _OUTSIDE = "\"'`*%$#&|!?,;:<>{}=."
 
 
+#: What a line must hold for any span to pass _valid(): four digits, or an @ sign in some spelling. Other lines need no decoding.
+_POSSIBLE = re.compile(r"(?:\d\D*){4}|@|[\[(]at[\])]| at ", re.IGNORECASE)
+
+
 def _valid(kind: str, text: str) -> bool:
     digits = _DIGITS.sub("", text)
     if kind == "card":
@@ -404,8 +408,9 @@ def find(docs: DataFrame, labelled: DataFrame, text: str = "text", keep: list[st
             for i, t in enumerate(texts):
                 at = 0
                 for line in t.split("\n"):
-                    lines.append(line.split())
-                    place.append((i, at, line))
+                    if _POSSIBLE.search(line):
+                        lines.append(line.split())
+                        place.append((i, at, line))
                     at += len(line) + 1
             every = [list(b) for b in base]
             for number, labels in field.decode(lines).items():
