@@ -129,8 +129,8 @@ def index_saved(spark, t):
 @query("SELECT lang, sum(strlen(text) + 1)::BIGINT AS length, CAST(NULL AS VARCHAR) AS reason FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def file_scan(spark, t):
     folder = scratch(spark, "files")
-    t("documents").where("text is not null").select("lang", "text").repartition(3, "lang").write.partitionBy("lang").text(folder)
-    found = readers.files(spark, folder, ["*.txt"]).withColumn("lang", F.regexp_extract("path", "lang=([^/]*)", 1))
+    writers.text_parts(t("documents").where("text is not null").select("doc_id", "lang", "text"), folder, "lang")
+    found = readers.files(spark, folder, ["*.txt"]).withColumn("lang", F.nullif(F.regexp_extract("path", "lang=([^/]*)", 1), F.lit("__HIVE_DEFAULT_PARTITION__")))
     return found.groupBy("lang").agg(F.sum("length").alias("length"), F.max("reason").alias("reason"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistola.functions.text import report_evidence, shorten
+from epistola.sources import readers
 
 FORMS = ("parquet", "json", "csv")
 
@@ -28,6 +29,15 @@ def batch_report(results: DataFrame, windows: DataFrame, stats: DataFrame, path:
         write(sheet.orderBy(*keys, *[c for c in order if c not in keys]), f"{path}/{name}", form)
 
 
+def text_parts(rows: DataFrame, path: str, by: str, text: str = "text", most: int | None = None) -> None:
+    """The texts as files under `by`=.../part=..., about a quarter of `most` bytes each (of the largest file that readers.files takes), however many rows a value of `by` has."""
+    room = max((most or readers.MAX_BYTES) // 4, 1)
+    parts = rows.groupBy(F.col(by).alias("__by")).agg(F.ceil(F.sum(F.octet_length(text) + F.lit(1).cast("long")) / room).cast("int").alias("__n"))
+    given = rows.join(F.broadcast(parts), F.col(by).eqNullSafe(F.col("__by")))
+    dealt = given.select(by, F.pmod(F.xxhash64(*rows.columns), F.greatest("__n", F.lit(1))).cast("int").alias("part"), text)
+    dealt.repartition(by, "part").write.partitionBy(by, "part").text(path)
+
+
 def result_json(df: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
