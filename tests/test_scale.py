@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from epistola import catalog
+from epistola.operators import vectors
 from epistola.sources import readers
 
 
@@ -18,3 +21,23 @@ def test_file_scan_takes_languages_beyond_the_largest_file(spark, sf, tmp_path,
     got = {r.lang: (r.length, r.reason) for r in catalog.QUERIES["file_scan"](spark, _with(spark, tmp_path, documents=docs)).collect()}
     want = docs.where("text is not null").selectExpr("lang", "octet_length(text) + 1 as n").groupBy("lang").sum("n").collect()
     assert got == {r[0]: (r[1], None) for r in want} and got["en"][0] > 200_000
+
+
+def _shuffled(spark, run):
+    """What run() gives, and the bytes that it shuffled."""
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    total = lambda: sum(s.apply(i).shuffleWriteBytes() for s in [stages()] for i in range(s.size()))
+    before = total()
+    return run(), total() - before
+
+
+def test_exact_near_duplicates_do_not_shuffle_vectors_to_every_block(spark):
+    r = np.random.default_rng(4)
+    m = r.normal(size=(1500, 64))
+    m = np.concatenate([m, m[:300] + r.normal(scale=0.2, size=(300, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").cache()
+    got, moved = _shuffled(spark, lambda: {(x.a, x.b) for x in vectors.near_duplicates_exact(table, 0.95, block=64).collect()})
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.95, 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 200
+    assert moved < 16 * m.nbytes
