@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import difflib
+import random
+
 import numpy as np
 
 from epistola import catalog
-from epistola.operators import vectors
+from epistola.functions.similarity import Matcher
+from epistola.operators import duplicates, fuzzy, vectors
 from epistola.sources import readers
 
 
@@ -41,3 +46,42 @@ def test_exact_near_duplicates_do_not_shuffle_vectors_to_every_block(spark):
     a, b = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.95, 1))
     assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 200
     assert moved < 16 * m.nbytes
+
+
+def test_letter_classes_lose_no_pair_and_expand_no_copies(spark):
+    r = random.Random(3)
+    ids = ["REF/1", "REF/2", "ref/1", "REF/12", "X-9999", "X-9998"]
+    rows = [(i, "p", r.choice(ids), dt.date(2024, 1, 1 + r.randrange(2)), "Delay in payment", r.choice(["It is late again.", "It was late again!", None, ""])) for i in range(90)]
+    rows += [(i, "p", "COPY-1" if i % 2 else "COPY-2", dt.date(2024, 1, 1), "One", "And the same") for i in range(100, 300)]
+    letters = spark.createDataFrame(rows, "id long, project string, letter_id string, date_sent date, subject string, body string")
+    pairs = duplicates.duplicate_letters(letters, ["project"]).collect()
+    found = duplicates.duplicate_classes(letters, ["project"]).collect()
+    what = {x[0]: (x[2], x[3], x[4], x[5] or "") for x in rows}
+    smallest: dict = {}
+    for i in sorted(what):
+        smallest.setdefault(what[i], i)
+    name = {i: smallest[w] for i, w in what.items()}
+    want = {(x.original_id, x.new_id, x.score, x.detection_method) if x.detection_method == "letter_id_match" else (name[x.original_id], name[x.new_id], x.score, x.detection_method) for x in pairs}
+    assert {tuple(x)[:4] for x in found} == want and len(found) == len(want)
+    assert all(x.class_id == name[x.new_id] for x in found)
+    assert len(found) < 500 < 10_000 < len(pairs)
+
+
+def test_short_strings_meet_only_with_a_common_subsequence(spark):
+    r = random.Random(6)
+    names = ["".join(r.choice("0123456789abcdef") for _ in range(10)) for _ in range(600)]
+    table = spark.createDataFrame([(n,) for n in sorted({*names, *(n[:4] + n[5:] for n in names[:50])})], "a string")
+    found = fuzzy.candidates(table, table.withColumnRenamed("a", "b"), 0.8).where("a < b").count()
+    assert 50 <= found < 500
+
+
+def test_matcher_has_the_blocks_of_the_standard_one():
+    r = random.Random(1)
+    for _ in range(400):
+        signs = r.choice(["ab", "abcdefghijklmnop ", "".join(map(chr, range(97, 300)))])
+        a, b = ("".join(r.choice(signs) for _ in range(r.randrange(r.choice([5, 30, 400])))) for _ in range(2))
+        b = r.choice([b, a[: len(a) // 2] + b + a[len(a) // 2 :]])
+        mine = Matcher()
+        mine.set_seq2(b)
+        mine.set_seq1(a)
+        assert mine.get_matching_blocks() == difflib.SequenceMatcher(None, a, b).get_matching_blocks()
