@@ -13,7 +13,7 @@ from epistola.functions.columns import once
 from epistola.operators import documents, duplicates, evaluation, labels, search, sentences, vectors
 from epistola.oracles import ISSUES, LABELS, ORACLES, RAW_LABELS
 from epistola.plans import classify
-from epistola.session import share_package
+from epistola.session import bound_batches, share_package
 from epistola.sources import readers
 
 FLAGSHIP = "flagship_classify"
@@ -27,6 +27,7 @@ def query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         share_package(spark)
+        bound_batches(spark)
         return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     QUERIES[f.__name__] = run

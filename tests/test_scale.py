@@ -85,3 +85,10 @@ def test_matcher_has_the_blocks_of_the_standard_one():
         mine.set_seq2(b)
         mine.set_seq1(a)
         assert mine.get_matching_blocks() == difflib.SequenceMatcher(None, a, b).get_matching_blocks()
+
+
+def test_queries_bound_their_arrow_batches(spark, sf):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalog.QUERIES["docx_texts"](spark, sf)
+    rows = spark.range(6000, numPartitions=1).mapInPandas(lambda frames: (f.assign(id=len(f)).head(1) for f in frames), "id long")
+    assert max(r.id for r in rows.collect()) <= 2000
