@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -247,3 +248,42 @@ def test_the_silhouette_query_tries_more_than_four_clusters(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.cluster for r in catalog.QUERIES["kmeans_silhouette"](spark, str(tmp_path)).collect()}
     assert len(set(got.values())) > 4
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e-4])
+def test_blocks_give_no_more_than_the_nearest_rows_of_each_query(scale):
+    """Copies and equal distances beyond the k-th hit stay in the block; single precision decides nothing."""
+    r = np.random.default_rng(8)
+    v = np.round(r.normal(size=(900, 6)) * scale, 2)
+    v = np.concatenate([v, np.repeat(v[:3], 400, axis=0)])
+    q = np.concatenate([v[:40], r.normal(size=(30, 6)) * scale])
+    i, j, d = vectors.nearest_rows(q, v, 5)
+    far = np.round(((q[:, None] - v[None]) ** 2).sum(2), 6)
+    want = [(x, int(y), float(far[x, y])) for x in range(len(q)) for y in np.lexsort((np.arange(len(v)), far[x]))[:5]]
+    assert list(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == want
+
+
+def test_search_moves_few_copies_of_the_rows(spark):
+    """Blocks are large: rows and queries go to few blocks, and only k hits of a query leave one."""
+    from tests.test_scale import _shuffled
+
+    r = np.random.default_rng(5)
+    m = np.repeat(r.normal(size=(600, 16)), 10, axis=0)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").cache()
+    assert table.count() == 6000
+    got, moved = _shuffled(spark, lambda: vectors.top_k(table, table, 3).count())
+    assert got == 18000 and moved < 20 * m.nbytes
+
+
+def test_hashed_embedding_equals_counting_word_by_word(spark):
+    import hashlib
+    from collections import Counter
+
+    texts = ["Straße straße x1, _y", "", None, "a b a", "!!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    for row in vectors.hashed_embedding(rows).collect():
+        want = np.zeros(vectors.DIMENSIONS)
+        for w, n in Counter(re.findall(r"\w+", (row.text or "").lower())).items():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % vectors.DIMENSIONS] += n
+        size = np.sqrt((want * want).sum())
+        assert row.embedding == (want / size if size else want).tolist()
