@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from epistola.functions import text as tx
 from epistola.functions.columns import once
+from epistola.session import stored
 
 #: Scores from which a type is an abbreviation, a sentence starter, a pair a collocation (fixed values).
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
@@ -44,13 +45,18 @@ def _type(body: Column) -> Column:
     return F.when(body.rlike(_DIGITS), NUMBER).otherwise(F.lower(bare))
 
 
-def token_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per token: body, type, stop (ends in a full stop), next (type of the token behind it, null at the end)."""
-    tokens = F.filter(F.split(tx.clean_text(F.col(text)), " "), lambda t: t != "")
-    bodies = once(docs.select(F.col(text)), {"b": F.transform(tokens, _body)}).select("b")
-    types = once(bodies, {"t": F.transform("b", _type)})
-    rows = F.transform("b", lambda b, i: F.struct(b.alias("body"), F.get("t", i).alias("type"), b.endswith(".").alias("stop"), F.get("t", i + 1).alias("next")))
-    return types.select(F.inline(rows))
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """type, initial, stop, next, k: tokens counted by their type, whether they are an initial and end in a full stop, and, of those that do, by the type behind.
+
+    next is null at the end of a text. Tokens are counted as they stand first, and bodies and types are made of distinct ones only.
+    """
+    tokens = F.array_remove(F.split(tx.clean_text(F.col(text)), " "), "")
+    rows = once(docs.select(F.col(text)), {"t": tokens}).select(F.inline(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("n"))))
+    said = rows.select(F.col("t"), F.when(F.contains("t", F.lit(".")), F.col("n")).alias("n")).groupBy("t", "n").agg(F.count(F.lit(1)).alias("k"))
+    bodies = once(said, {"body": _body(F.col("t")), "behind": _body(F.col("n"))})
+    stop = F.col("body").endswith(".")
+    typed = bodies.select(_type(F.col("body")).alias("type"), F.col("body").rlike(_INITIAL).alias("initial"), stop.alias("stop"), F.when(stop, _type(F.col("behind"))).alias("next"), "k")
+    return typed.groupBy("type", "initial", "stop", "next").agg(F.sum("k").alias("k"))
 
 
 def dunning(total: Column, with_stop: Column, stops: Column, n: Column) -> Column:
@@ -78,8 +84,8 @@ def learn(docs: DataFrame, text: str = "text") -> DataFrame:
     Starters follow a full stop that ends no abbreviation; collocations join an abbreviation,
     an initial or a number with what follows it, unless that is a starter. Null texts have no tokens.
     """
-    pairs = token_pairs(docs, text)
-    counts = pairs.groupBy("type").agg(F.count(F.lit(1)).alias("total"), F.count_if("stop").alias("with_stop"))
+    pairs = stored(token_counts(docs, text), "tokens")
+    counts = pairs.groupBy("type").agg(F.sum("k").alias("total"), F.sum(F.when(F.col("stop"), F.col("k")).otherwise(0)).alias("with_stop"))
     sums = counts.agg(F.sum("total").alias("n"), F.sum("with_stop").alias("stops"))
     scored = counts.crossJoin(F.broadcast(sums))  # one row
     inner = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
@@ -91,13 +97,13 @@ def learn(docs: DataFrame, text: str = "text") -> DataFrame:
     short = best(named.select(F.lit("abbreviation").alias("kind"), "type", F.lit("").alias("next"), score.alias("score")).where(F.col("score") >= ABBREVIATION))
     known = F.broadcast(short.select("type", F.lit(True).alias("short")))
     marked = pairs.where("stop and next is not null").join(known, "type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
-    ends = pairs.where("stop").join(known, "type", "left_anti").agg(F.count(F.lit(1)).alias("breaks"))
-    first = marked.where(~F.col("short")).groupBy("next").agg(F.count(F.lit(1)).alias("ab"))
+    ends = pairs.where("stop").join(known, "type", "left_anti").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("breaks"))
+    first = marked.where(~F.col("short")).groupBy("next").agg(F.sum("k").alias("ab"))
     first = first.join(counts.select(F.col("type").alias("next"), F.col("total").alias("b")), "next").crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(sums))
     first = first.where(F.col("next").rlike(_LETTER) & (F.col("next") != NUMBER)).withColumn("score", together(F.col("breaks"), F.col("b"), F.col("ab"), F.col("n")))
     starts = first.where((F.col("score") >= STARTER) & (F.col("n") / F.col("breaks") > F.col("b") / F.col("ab")))
     starts = best(starts.select(F.lit("starter").alias("kind"), F.col("next").alias("type"), F.lit("").alias("next"), "score"))
-    tied = marked.where(F.col("short") | F.col("body").rlike(_INITIAL) | (F.col("type") == NUMBER)).groupBy("type", "next").agg(F.count(F.lit(1)).alias("ab")).where("ab > 1")
+    tied = marked.where(F.col("short") | F.col("initial") | (F.col("type") == NUMBER)).groupBy("type", "next").agg(F.sum("k").alias("ab")).where("ab > 1")
     tied = tied.join(counts.select("type", F.col("total").alias("a")), "type").join(counts.select(F.col("type").alias("next"), F.col("total").alias("b")), "next").crossJoin(F.broadcast(sums))
     tied = tied.join(F.broadcast(starts.select(F.col("type").alias("next"))), "next", "left_anti").withColumn("score", together(F.col("a"), F.col("b"), F.col("ab"), F.col("n")))
     joined = tied.where(F.col("next").rlike(_LETTER) & (F.col("score") >= COLLOCATION) & (F.col("n") / F.col("a") > F.col("b") / F.col("ab")))

@@ -101,3 +101,16 @@ def test_abbreviations_do_not_cut(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "text string")
     assert sentences.learn(none).count() == 0 and sentences.model(sentences.learn(none)).starters == frozenset()
+
+
+def test_learning_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(t,) for t in TEXTS * 40], "text string")
+    assert sentences.learn(docs.mapInArrow(seen, "text string")).count() > 0
+    assert read.value == docs.count()
