@@ -481,7 +481,7 @@ def rank_issues(spark, t):
 @query
 def category_merge(spark, t):
     issues = _issues(t)
-    semantic = issues.join(_edges(t).select("issue_type", "category"), "issue_type").groupBy("doc_id", "category").agg(F.max("confidence").alias("confidence"), F.collect_set("issue_type").alias("source_issues"))
+    semantic = issues.repartition("doc_id").join(labels.small(_edges(t).select("issue_type", "category")), "issue_type").groupBy("doc_id", "category").agg(F.max("confidence").alias("confidence"), F.collect_set("issue_type").alias("source_issues"))
     final = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("doc_id"), F.col("p_type").alias("category")).agg(F.bround(F.min(1 - F.col("l_discount")), 4).alias("confidence"))
     return search.merge_categories(final, semantic, issues.where("confidence >= 0.97"))
 
