@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from epistola.catalog_jobs import query
 from epistola.functions import domains, values
 from epistola.functions import text as tx
+from epistola.functions.columns import once
 from epistola.operators import documents, duplicates, evaluation, labels, samples
 from epistola.oracles import EDGES, ISSUES, LABELS, NEAR, TRAINING, named_categories, q, typed
 from epistola.plans import classify, jobs
@@ -372,8 +373,8 @@ def salvaged_pairs(spark, t):
     """Subject and body pairs out of answers that break off."""
     one = "concat('{\"subject\": \"', p_name, ' is the subject here\", \"body\": \"', repeat(concat(p_name, ' '), 8), '\"}, ')"
     said = t("part").select("p_partkey", F.expr(f"concat('Sure: [', repeat({one}, p_size % 11), '{{\"subject\": \"cut')").alias("answer"))
-    found = said.select("p_partkey", F.explode(values.sample_pairs(F.col("answer"))).alias("x"))
-    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("pairs"), F.min("x.body").alias("body"))
+    found = once(said, {"x": values.sample_pairs(F.col("answer"))}).select("p_partkey", F.size("x").alias("n"), F.array_min(F.transform("x", lambda x: x["body"])).alias("body"))
+    return found.where("n > 0").groupBy("p_partkey").agg(F.sum(F.col("n").cast("long")).alias("pairs"), F.min("body").alias("body"))
 
 
 @query(f"""SELECT count(*) FILTER (doc_type = e) AS correct, count(*) FILTER (doc_type <> e AND doc_type <> 'unknown') AS incorrect, count(*) FILTER (doc_type = 'unknown') AS unknown, count(*) FILTER (doc_type = e)::DOUBLE / count(*) AS accuracy
