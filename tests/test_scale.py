@@ -92,3 +92,24 @@ def test_queries_bound_their_arrow_batches(spark, sf):
     catalog.QUERIES["docx_texts"](spark, sf)
     rows = spark.range(6000, numPartitions=1).mapInPandas(lambda frames: (f.assign(id=len(f)).head(1) for f in frames), "id long")
     assert max(r.id for r in rows.collect()) <= 2000
+
+
+def test_mapped_issues_are_shuffled_before_they_multiply(spark):
+    from epistola.operators import labels
+
+    issues = spark.range(20_000).selectExpr("id div 4 as doc_id", "concat('i', id % 25) as issue_type", "0.5D as confidence", "md5(cast(id as string)) as evidence").cache()
+    edges = spark.range(250).selectExpr("concat('i', id % 25) as issue_type", "concat('c', id div 25) as category").cache()
+    counts, of = edges.groupBy("issue_type").agg({"*": "count"}).toDF("issue_type", "issue_n").cache(), edges.groupBy("category").agg({"*": "count"}).toDF("category", "category_n").cache()
+    assert issues.count() and counts.count() == 25 and of.count() == 10
+    got, moved = _shuffled(spark, lambda: labels.map_issues(issues, edges, counts, of).selectExpr("sum(n_sources)").first()[0])
+    assert got == 200_000 and moved < 3_000_000
+
+
+def test_merged_categories_are_not_shuffled_by_issue(spark, sf):
+    plan = catalog.QUERIES["category_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "arrays_overlap" in plan
+
+
+def test_salvaged_pairs_are_counted_without_a_row_for_each(spark, sf):
+    made = catalog.QUERIES["salvaged_pairs"](spark, sf)
+    assert "explode(" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() > 50
