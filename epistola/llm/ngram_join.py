@@ -14,7 +14,10 @@ bucket that they share. This empties the buckets of passages that many documents
 Pairs are not expanded: copies collapse into one set; in each signature's bucket the most
 connected set is compared with the others and then leaves the bucket (its links are all
 known), and sets already in one component need no comparison. After ROUNDS such turns the
-sets of different components that still share a bucket are compared with each other. Before
+sets of different components that still share a bucket are compared with each other. Sets
+that are nearly similar share many buckets; so that they do not meet in each of them, a row
+has the set's BEFORE preceding signatures, and two sets with one of these in common are left
+to an earlier bucket. In the first that they share they always meet. Before
 any comparison of whole sets parity sketches decide: each element flips one bit, so the
 number of differing bits never exceeds the symmetric difference, and a pair with too many
 cannot be similar. A fold of 512 bits is tested first, then one of two bits for each element.
@@ -40,6 +43,8 @@ ROUNDS = 2
 #: One spare range for so many needed ones.
 NEEDED_PER_SPARE = 10
 SKETCH_WORDS = 8
+#: Preceding signatures of its set that a row of the last comparison has.
+BEFORE = 8
 #: Ids and marks of candidate documents are broadcast up to this many (24 to 100 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 CACHE_WORDS = 100_000
@@ -176,6 +181,19 @@ def _as_a(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("uid").alias("a"), F.col("size").alias("size_a"), *[F.col(c).alias(f"a_{c}") for c in _SKETCH])
 
 
+def _with_preceding(live: DataFrame) -> DataFrame:
+    """sig, uid, label, before: up to BEFORE signatures that precede sig among those of the same set in live."""
+    preceding = Window.partitionBy("uid").orderBy("sig").rowsBetween(-BEFORE, -1)
+    return live.select("sig", "uid", "label", F.collect_list("sig").over(preceding).alias("before"))
+
+
+def _meeting(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets of different labels that share a signature and may be similar: from the first that they share, and from another only if BEFORE tells of none shared before it."""
+    rest = live.select("sig", F.col("label").alias("label_b"), F.col("uid").alias("b"), F.col("before").alias("before_b")).join(_as_b(nodes), "b")
+    other = live.select("sig", F.col("label").alias("label_a"), F.col("uid").alias("a"), F.col("before").alias("before_a")).join(_as_a(nodes), "a")
+    return rest.join(other, "sig").where(f"a < b and label_a != label_b and not arrays_overlap(before_a, before_b) and {_possible(percent)}").select("a", "b")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, broadcast if it has at most BROADCAST_KEYS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -259,6 +277,7 @@ class _Join:
         bucket = self.buckets(prof, copies, slim)
         popular = bucket.groupBy("uid").agg(F.sum("n").alias("pop"))
         nodes = materialize(slim.join(popular, "uid").select("uid", "mark", "size", "pop", "wide", *_SKETCH), "nodes")
+        discard(slim)
         labels = nodes.select(F.col("uid").alias("node"), F.col("uid").alias("label"))
         found = None
 
@@ -286,17 +305,15 @@ class _Join:
             discard(live)
         live = living(bucket)
         discard(bucket)
-        rest = live.select("sig", F.col("label").alias("label_b"), F.col("uid").alias("b")).join(_as_b(nodes), "b")
-        other = live.select("sig", F.col("label").alias("label_a"), F.col("uid").alias("a")).join(_as_a(nodes), "a")
-        learn(rest.join(other, "sig").where(f"a < b and label_a != label_b and {_possible(self.percent)}").select("a", "b").distinct())
+        learn(_meeting(_with_preceding(live), nodes, self.percent).distinct())
         discard(live)
         return labels
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """key, mark, uid, size, digest of each row, and digest, label of each distinct set; equal labels are linked."""
-        prof = profiles(self.docs, self.key, self.text, self.n, self.percent)  # discarded by links()
+        prof = profiles(self.docs, self.key, self.text, self.n, self.percent)  # discarded by links(), as slim is
         slim = materialize(prof.drop("sigs"), "sets")
-        rows = slim.select("key", "mark", "uid", "size", "digest")
+        rows = materialize(slim.select("key", "mark", "uid", "size", "digest"), "rows")
         first = rows.where("size > 0").groupBy("digest").agg(F.min("uid").alias("node"))
         copies = materialize(rows.where("size > 0").join(first, "digest").where("uid != node").select("uid"), "copies")
         labels = self.links(prof, copies, slim)

@@ -126,6 +126,19 @@ def odd_rows():
     return [(*x, f"m{i}", i, -i, "k", f"t{i}", i % 3) for i, x in enumerate(rows)]
 
 
+def test_pairs_that_share_many_signatures_meet_about_once(spark):
+    """Every pair that shares a live signature is made, hardly more than once for sets that share most of theirs, and not at all within a component."""
+    r = random.Random(5)
+    held = {uid: r.sample(range(1000, 1100), 75) for uid in range(12)} | {20: [7], 21: [7, 8], 22: [8]}
+    zeros = [(uid, 2000, *[0] * ngram_join.SKETCH_WORDS) for uid in held]
+    nodes = spark.createDataFrame(zeros, "uid long, size long, " + ", ".join(f"{c} long" for c in ngram_join._SKETCH))
+    live = spark.createDataFrame([(s, uid, 0 if uid in (0, 1) else uid) for uid, sigs in held.items() for s in sigs], "sig long, uid long, label long")
+    got = [(x.a, x.b) for x in ngram_join._meeting(ngram_join._with_preceding(live), nodes, 80).collect()]
+    want = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])} - {(0, 1)}
+    assert set(got) == want
+    assert len(got) <= 2 * len(want)  # 56 rows or so of a pair if each shared signature made one
+
+
 def test_stages_keep_exact_rows(spark):
     rows = odd_rows()
     docs = spark.createDataFrame(rows, ODD).repartition(3)
