@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from epistola.functions import domains
 from epistola.functions import text as tx
 from epistola.operators import documents
+from epistola.plans import classify
 
 LETTER = """LETTERHEAD OF THE COMPANY
 Ref: ABC/12
@@ -124,3 +125,29 @@ def test_domains():
     assert len(domains.CATEGORIES) == 8 and len(domains.SCAN_PATTERNS) == 16 and len(domains.FILLER_WORDS) == 46
     assert sum(map(len, domains.CATEGORY_VARIANTS.values())) == 47 and len(domains.KEYWORD_STOPS) == 24
     assert {k for k in domains.DOCUMENT_TYPES} == set(domains.DOCUMENT_PATTERNS)
+
+
+def test_evidence_sentence_equals_a_loop(spark):
+    """The first sentence with two key words, else the first longer one with one of the first three, stripped as a whole."""
+    keys = ["ab", "cd", " e", "fg"]
+    texts = ["", ".", "ab", "ab cd", "no. ab\u00a0. x ab y and much more behind it. cd ab \n. ab cd ef", "fg and nothing else that would count here", " e is what this sentence begins with. so it goes", "x  e is within this one, which is long. AB.CD", "\u2003ab in a long sentence with blanks \u2003.", "ab 456789 12345678 0.ab 456789 12345678 01"]
+
+    def loop(text):
+        parts = [p for p in (x.strip() for x in text.split(".")) if p]
+        held = lambda p, ks: sum(k in p.lower() for k in ks)
+        strong = [p for p in parts if held(p, keys) >= 2]
+        weak = [p for p in parts if len(p) > 20 and held(p, keys[:3])]
+        return [*strong, *weak, ""][0]
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = docs.select("i", tx.evidence_sentence(F.col("t"), F.array(*[F.lit(k) for k in keys])).alias("e")).orderBy("i").collect()
+    assert [r.e for r in got] == [loop(t) for t in texts]
+
+
+def test_windows_multiply_only_by_issues_that_they_may_speak_for(spark):
+    issues = [("one", ["aa", "bb"]), ("two", ["cc", "dd"]), ("three", ["ee", "ff"])]
+    docs = spark.createDataFrame([(1, "It has AA and bb here. Nothing."), (2, "cc alone."), (3, None)], "doc_id long, text string")
+    found = classify.rule_issues(docs, issues)
+    assert [(r.doc_id, r.issue_type, r.confidence, r.evidence) for r in found.collect()] == [(1, "one", 1.0, "It has AA and bb here")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(filter(transform(" in plan
