@@ -1,7 +1,7 @@
 """Sentence splitting learned from the texts themselves: abbreviations, sentence starters and collocations by log-likelihood.
 
 The counts (tokens of a type with and without full stop, types after a break, pairs around a full stop) are sums that
-Spark adds up from all texts; what passes the thresholds is a model of bounded size that every task holds.
+Spark adds up from all texts; what passes the thresholds is the model, a table of any size.
 A token is what stands between white space in cleaned text; its type is lower-case, without quotes,
 commas and one final full stop; numbers are one type.
 """
@@ -23,8 +23,6 @@ from epistola.session import stored
 
 #: Scores from which a type is an abbreviation, a sentence starter, a pair a collocation (fixed values).
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
-#: Entries of each kind that a model holds at most, the best by score.
-MOST = 50_000
 NUMBER = "##number##"
 _EDGE, _DIGITS, _INITIAL, _LETTER = r"""^["'-]+|["',;:-]+$""", r"^-?[0-9][0-9.,]*$", r"^[\p{L}]\.$", r"[\p{L}\p{N}_]"
 
@@ -78,11 +76,12 @@ def together(a: Column, b: Column, ab: Column, n: Column) -> Column:
 
 
 def learn(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind (abbreviation, starter, collocation), type, next (of collocations, else ''), score: at most MOST of each kind.
+    """kind (abbreviation, starter, collocation), type, next (of collocations, else ''), score: all that pass the thresholds.
 
     An abbreviation's score falls with its length and with its tokens without full stop, and grows with the full stops inside.
     Starters follow a full stop that ends no abbreviation; collocations join an abbreviation,
     an initial or a number with what follows it, unless that is a starter. Null texts have no tokens.
+    Abbreviations and starters are written once, so joins with them are broadcast or shuffled by their size.
     """
     pairs = stored(token_counts(docs, text), "tokens")
     counts = pairs.groupBy("type").agg(F.sum("k").alias("total"), F.sum(F.when(F.col("stop"), F.col("k")).otherwise(0)).alias("with_stop"))
@@ -93,26 +92,25 @@ def learn(docs: DataFrame, text: str = "text") -> DataFrame:
     weight = F.exp(-letters.cast("double")) * (inner + 1) * F.pow(letters.cast("double"), -(F.col("total") - F.col("with_stop")).cast("double"))
     score = dunning(F.col("total"), F.col("with_stop"), F.col("stops"), F.col("n")) * weight
     named = scored.where((F.col("with_stop") > 0) & (F.col("type") != NUMBER) & F.col("type").rlike(_LETTER) & (F.col("stops") < F.col("n")))
-    best = lambda d: d.orderBy(F.desc("score"), "type", "next").limit(MOST)
-    short = best(named.select(F.lit("abbreviation").alias("kind"), "type", F.lit("").alias("next"), score.alias("score")).where(F.col("score") >= ABBREVIATION))
-    known = F.broadcast(short.select("type", F.lit(True).alias("short")))
+    short = stored(named.select(F.lit("abbreviation").alias("kind"), "type", F.lit("").alias("next"), score.alias("score")).where(F.col("score") >= ABBREVIATION), "abbreviations")
+    known = short.select("type", F.lit(True).alias("short"))
     marked = pairs.where("stop and next is not null").join(known, "type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
     ends = pairs.where("stop").join(known, "type", "left_anti").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("breaks"))
     first = marked.where(~F.col("short")).groupBy("next").agg(F.sum("k").alias("ab"))
     first = first.join(counts.select(F.col("type").alias("next"), F.col("total").alias("b")), "next").crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(sums))
     first = first.where(F.col("next").rlike(_LETTER) & (F.col("next") != NUMBER)).withColumn("score", together(F.col("breaks"), F.col("b"), F.col("ab"), F.col("n")))
     starts = first.where((F.col("score") >= STARTER) & (F.col("n") / F.col("breaks") > F.col("b") / F.col("ab")))
-    starts = best(starts.select(F.lit("starter").alias("kind"), F.col("next").alias("type"), F.lit("").alias("next"), "score"))
+    starts = stored(starts.select(F.lit("starter").alias("kind"), F.col("next").alias("type"), F.lit("").alias("next"), "score"), "starters")
     tied = marked.where(F.col("short") | F.col("initial") | (F.col("type") == NUMBER)).groupBy("type", "next").agg(F.sum("k").alias("ab")).where("ab > 1")
     tied = tied.join(counts.select("type", F.col("total").alias("a")), "type").join(counts.select(F.col("type").alias("next"), F.col("total").alias("b")), "next").crossJoin(F.broadcast(sums))
-    tied = tied.join(F.broadcast(starts.select(F.col("type").alias("next"))), "next", "left_anti").withColumn("score", together(F.col("a"), F.col("b"), F.col("ab"), F.col("n")))
+    tied = tied.join(starts.select(F.col("type").alias("next")), "next", "left_anti").withColumn("score", together(F.col("a"), F.col("b"), F.col("ab"), F.col("n")))
     joined = tied.where(F.col("next").rlike(_LETTER) & (F.col("score") >= COLLOCATION) & (F.col("n") / F.col("a") > F.col("b") / F.col("ab")))
-    joined = best(joined.select(F.lit("collocation").alias("kind"), "type", "next", "score"))
+    joined = joined.select(F.lit("collocation").alias("kind"), "type", "next", "score")
     return short.unionByName(starts).unionByName(joined)
 
 
 def model(learned: DataFrame) -> Model:
-    """The model as sets; at most 3 * MOST rows come to the driver."""
+    """The model as sets; all its rows come to the driver."""
     rows = learned.select("kind", "type", "next").collect()
     of = lambda kind: frozenset(r["type"] for r in rows if r["kind"] == kind)
     return Model(of("abbreviation"), of("starter"), frozenset((r["type"], r["next"]) for r in rows if r["kind"] == "collocation"))

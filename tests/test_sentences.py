@@ -87,6 +87,18 @@ def test_the_model_equals_a_plain_trainer(spark, times):
     assert (known.abbreviations, known.starters, known.collocations) == brute_model(cleaned)
 
 
+def test_a_model_keeps_all_that_passes(spark):
+    """52,900 abbreviations: no number of entries is the most that a model holds."""
+    letters = [chr(0x4E00 + i) for i in range(230)]
+    texts = [" ".join(f"{a}{b}. the long delay" for b in letters) for a in letters]
+    learned = sentences.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    short, starters, tied = brute_model(texts)
+    got = learned.select("kind", "type", "next").collect()
+    assert len(short) == 52_900 and len(got) == len(set(got)) == len(short) + len(starters) + len(tied)
+    known = sentences.model(learned)
+    assert (known.abbreviations, known.starters, known.collocations) == (short, starters, tied)
+
+
 def test_abbreviations_do_not_cut(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS * 40], "text string")
     known = sentences.model(sentences.learn(docs))
