@@ -13,7 +13,7 @@ from epistola.functions.columns import once
 from epistola.operators import documents, duplicates, evaluation, labels, search, sentences, vectors
 from epistola.oracles import ISSUES, LABELS, ORACLES, RAW_LABELS
 from epistola.plans import classify
-from epistola.session import bound_batches, share_package
+from epistola.session import bound_batches, share_package, stored
 from epistola.sources import readers
 
 FLAGSHIP = "flagship_classify"
@@ -60,8 +60,8 @@ def sentence_model(spark, t):
 @query
 def learned_sentences(spark, t):
     """Sentences by a model of the documents themselves."""
-    split = sentences.splitter(sentences.model(sentences.learn(t("documents"))))
-    made = t("documents").select("doc_id", F.posexplode(split(F.col("text"))).alias("i", "sentence"))
+    learned = stored(sentences.learn(t("documents")), "sentence-model")
+    made = sentences.split(t("documents").select("doc_id", "text"), learned).select("doc_id", F.posexplode("sentences").alias("i", "sentence"))
     return made.select("doc_id", (F.col("i") + 1).alias("place"), "sentence")
 
 

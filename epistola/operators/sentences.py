@@ -9,6 +9,7 @@ commas and one final full stop; numbers are one type.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +24,11 @@ from epistola.session import stored
 
 #: Scores from which a type is an abbreviation, a sentence starter, a pair a collocation (fixed values).
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
+#: Rows and bytes of a model that every task holds as sets; texts meet a larger one by joins.
+HELD_ROWS, HELD_BYTES = 150_000, 16 << 20
 NUMBER = "##number##"
 _EDGE, _DIGITS, _INITIAL, _LETTER = r"""^["'-]+|["',;:-]+$""", r"^-?[0-9][0-9.,]*$", r"^[\p{L}]\.$", r"[\p{L}\p{N}_]"
+_UPPER = r"""^["'-]*\p{Lu}"""
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,10 @@ class Model:
     collocations: frozenset[tuple[str, str]]
 
 
+def _tokens(text: str) -> Column:
+    return F.array_remove(F.split(tx.clean_text(F.col(text)), " "), "")
+
+
 def _body(token: Column) -> Column:
     return F.regexp_replace(token, _EDGE, "")
 
@@ -48,8 +56,7 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     next is null at the end of a text. Tokens are counted as they stand first, and bodies and types are made of distinct ones only.
     """
-    tokens = F.array_remove(F.split(tx.clean_text(F.col(text)), " "), "")
-    rows = once(docs.select(F.col(text)), {"t": tokens}).select(F.inline(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("n"))))
+    rows = once(docs.select(F.col(text)), {"t": _tokens(text)}).select(F.inline(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("n"))))
     said = rows.select(F.col("t"), F.when(F.contains("t", F.lit(".")), F.col("n")).alias("n")).groupBy("t", "n").agg(F.count(F.lit(1)).alias("k"))
     bodies = once(said, {"body": _body(F.col("t")), "behind": _body(F.col("n"))})
     stop = F.col("body").endswith(".")
@@ -133,7 +140,8 @@ def ends(token: str, following: str, known: Model) -> bool:
         return True
     if not body.endswith("."):
         return False
-    behind, upper = _python_type(following)[1], following.lstrip("\"'-")[:1].isupper()
+    first = following.lstrip("\"'-")[:1]
+    behind, upper = _python_type(following)[1], first != "" and unicodedata.category(first) == "Lu"
     if (kind, behind) in known.collocations:
         return False
     if kind in known.abbreviations or (len(body) == 2 and body[0].isalpha()):
@@ -151,7 +159,7 @@ def splitter(known: Model) -> Callable[[Column], Column]:
             tokens = [] if text is None else [t for t in text.split(" ") if t]
             made, start = [], 0
             for i, token in enumerate(tokens[:-1]):
-                if token[-1] in ".!?\"'," and ends(token, tokens[i + 1], known):
+                if token[-1] in ".!?\"',;:-" and ends(token, tokens[i + 1], known):
                     made.append(" ".join(tokens[start : i + 1]))
                     start = i + 1
             if tokens:
@@ -160,3 +168,41 @@ def splitter(known: Model) -> Callable[[Column], Column]:
         return pd.Series(out, dtype="object")
 
     return lambda c: split(tx.clean_text(c))
+
+
+def _places(rows: DataFrame, learned: DataFrame, text: str) -> DataFrame:
+    """__row, places: the tokens, counted from 1, that end sentences within a text; what ends() says of each, by joins.
+
+    The model is asked once about each pair of types around a full stop.
+    """
+    said = once(rows.select("__row", text), {"t": _tokens(text)}).select("__row", F.posexplode(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("n"))).alias("i", "x"))
+    said = said.select("__row", (F.col("i") + 1).alias("place"), "x.t", "x.n").where(F.col("n").isNotNull() & F.col("t").rlike("[.!?]"))
+    bodies = once(said, {"body": _body(F.col("t")), "behind": _body(F.col("n"))}).where(F.col("body").rlike("[.!?]$"))
+    stop, upper = F.col("body").endswith("."), F.col("n").rlike(_UPPER)
+    types = [F.when(stop, c).alias(name) for name, c in (("type", _type(F.col("body"))), ("next", _type(F.col("behind"))), ("initial", F.col("body").rlike(_INITIAL)), ("upper", upper))]
+    signs = stored(bodies.select("__row", "place", *types), "signs")
+    stops = signs.where(F.col("type").isNotNull())
+    of = lambda kind, *columns: learned.where(F.col("kind") == kind).select(*columns, F.lit(True).alias(kind))
+    pairs = stops.select("type", "next", "initial").distinct().join(of("collocation", "type", "next"), ["type", "next"], "left_anti")
+    pairs = pairs.join(of("abbreviation", "type"), "type", "left").join(of("starter", F.col("type").alias("next")), "next", "left")
+    short = F.coalesce("abbreviation", F.lit(False)) | F.col("initial")
+    ending = pairs.where(~short | F.col("starter").isNotNull()).select("type", "next", "initial", (~short & (F.col("type") != NUMBER)).alias("always"))
+    ended = stops.join(stored(ending, "endings"), ["type", "next", "initial"]).where(F.col("always") | F.col("upper"))
+    found = ended.select("__row", "place").unionByName(signs.where(F.col("type").isNull()).select("__row", "place"))
+    return found.groupBy("__row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def split(docs: DataFrame, learned: DataFrame, text: str = "text", to: str = "sentences") -> DataFrame:
+    """docs with the sentences of (cleaned) text under a model of any size, as learn() gives it; best written before, as it is read several times.
+
+    A model of at most HELD_ROWS rows and HELD_BYTES is held by every task. A larger one passes neither the driver nor a task:
+    signs that may end a sentence meet it by joins, and their places come back to the texts, which are shuffled once.
+    """
+    size = learned.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("type") + F.octet_length("next")), F.lit(0)).alias("b")).first()
+    if size["n"] <= HELD_ROWS and size["b"] <= HELD_BYTES:
+        return once(docs, {to: splitter(model(learned))(F.col(text))})
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    placed = once(rows.join(_places(rows, learned, text), "__row", "left"), {"__t": F.coalesce(_tokens(text), F.array().cast("array<string>")), "__p": F.coalesce("places", F.array().cast("array<int>"))})
+    starts, stops = F.concat(F.array(F.lit(0)), "__p"), F.concat("__p", F.array(F.size("__t")))
+    parts = F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice("__t", a + 1, b - a), " "))
+    return once(placed, {to: F.when(F.size("__t") > 0, parts).otherwise(F.array().cast("array<string>"))}).select(*docs.columns, to)

@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
+from epistola import catalog
 from epistola.functions import stems
 from epistola.functions.text import clean_text
 from epistola.operators import sentences
@@ -126,3 +128,46 @@ def test_learning_reads_each_text_once(spark):
     docs = spark.createDataFrame([(t,) for t in TEXTS * 40], "text string")
     assert sentences.learn(docs.mapInArrow(seen, "text string")).count() > 0
     assert read.value == docs.count()
+
+
+ODD = [
+    "The works ended etc.; The crew left. 5.; Then we paid. 5.: then no more, a.- The end.' And 'so.\" It \"was.\", Yes", "no.; No.- \u2167 was met. \u2167 was not. \u01c5 came? \u01c5 went! now", ". . ! ? ?! Wait... What? 'No.' \"-The rest",
+    "-5. The sum. -5. the sum. 5,0. Sum", "\u0130. \u0130stanbul was wet. \u0130 a. B. c. D", "? ! .", "-", "a.b. A.B. a.b. The c.d. the", "   ", "One.", "\u00e9. \u00c9t\u00e9. \u00e9t\u00e9. \u00df. Then", "Is it? yes! no? No.",
+]
+
+
+def _equals_sql(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    made = sorted(tuple(r) for r in catalog.QUERIES["learned_sentences"](spark, str(folder)).select("doc_id", "place", "sentence").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert made == sorted(con.sql(f"select doc_id, place, sentence from ({catalog.ORACLES['learned_sentences']})").fetchall())
+    return made
+
+
+@pytest.mark.parametrize("held", [150_000, 0])
+def test_texts_meet_a_model_of_any_size(spark, tmp_path, monkeypatch, held):
+    """Equal to the SQL whether tasks hold the model or it is joined; a large one never comes to the driver."""
+    monkeypatch.setattr(sentences, "HELD_ROWS", held)
+    if not held:
+        monkeypatch.setattr(sentences, "model", None)
+    made = _equals_sql(spark, tmp_path, TEXTS * 40 + ODD * 3)
+    assert (4, 1, None) not in made and any(s.endswith("etc.;") for _, _, s in made)
+
+
+@pytest.mark.parametrize("held", [150_000, 1_000])
+def test_every_abbreviation_counts(spark, tmp_path, monkeypatch, held):
+    """52,900 abbreviations, none of which ends a sentence."""
+    monkeypatch.setattr(sentences, "HELD_ROWS", held)
+    letters = [chr(0x4E00 + i) for i in range(230)]
+    assert len(_equals_sql(spark, tmp_path, [" ".join(f"{a}{b}. The long delay" for b in letters) for a in letters])) == 230
+
+
+def test_split_keeps_rows_and_columns(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "One came. Two left.", 1), (7, "One came. Two left.", 2), (7, None, 3), (7, "", 4), (8, "Only one", 5)], "doc_id long, text string, n int")
+    learned = sentences.learn(docs).cache()
+    held = sorted(sentences.split(docs, learned).collect(), key=lambda r: r.n)
+    monkeypatch.setattr(sentences, "HELD_BYTES", -1)
+    joined = sentences.split(docs, learned)
+    assert joined.columns == [*docs.columns, "sentences"] and sorted(joined.collect(), key=lambda r: r.n) == held
+    assert [r.sentences for r in held] == [["One came.", "Two left."]] * 2 + [[], [], ["Only one"]]
