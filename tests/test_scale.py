@@ -7,8 +7,10 @@ import difflib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from epistola import catalog
+from epistola.functions import alike, domains
 from epistola.functions.similarity import Matcher
 from epistola.operators import duplicates, fuzzy, vectors
 from epistola.sources import readers
@@ -67,6 +69,48 @@ def test_letter_classes_lose_no_pair_and_expand_no_copies(spark):
     assert len(found) < 500 < 10_000 < len(pairs)
 
 
+def test_letters_of_like_ids_are_not_shuffled_by_pair(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    rows = [(i, "p", f"REF/2024/{i % 4}", dt.date(2024, 1, 1 + i % 20), "Delay", " ".join(r.choice(words) for _ in range(r.choice([20, 300, 500])))) for i in range(300)]
+    rows += [(300 + i, *x[1:2], f"REF/2024/{4 + i % 4}", *x[3:5], x[5][: 200 + 9 * i] + x[5][300:]) for i, x in enumerate(rows[:60])]
+    letters = spark.createDataFrame(rows, "id long, project string, letter_id string, date_sent date, subject string, body string").cache()
+    assert letters.count() == 360
+    found, moved = _shuffled(spark, lambda: duplicates.duplicate_classes(letters, ["project"]).collect())
+    assert moved < 8 * sum(len(x[5]) for x in rows)
+    got = {(x.original_id, x.new_id): x.score for x in found if x.detection_method != "letter_id_match"}
+    bag = lambda t: {w for w in t.split(" ") if len(w) >= 4 and w not in domains.KEYWORD_STOPS}
+    near = difflib.SequenceMatcher(None, "ref/2024/1", "ref/2024/0").ratio() * 40
+    wanted = 0
+    for old, new in r.sample([(x, y) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2]], 1500):
+        days, x, y = abs((old[3] - new[3]).days), bag(new[5]), bag(old[5])
+        body = max(difflib.SequenceMatcher(None, new[5], old[5]).ratio(), len(x & y) / len(x | y))
+        score = near + (20 if days == 0 else (1 - days / 7) * 20 if days <= 3 else 0) + 25 + body * 15
+        assert (old[0], new[0]) in got if score > 75.001 else score > 74.999 or (old[0], new[0]) not in got
+        if score > 75.001:
+            wanted += 1
+            assert abs(got[old[0], new[0]] - score) < 2e-4
+    assert wanted > 100
+
+
+def test_likeness_is_the_standard_ratio_or_the_jaccard(spark):
+    r, rows = random.Random(2), []
+    for n in range(900):
+        signs = r.choice(["ab", "abcdefghijklmnop ", "".join(map(chr, range(97, 300))), "😀ab€é ", "".join(map(chr, range(0x4E00, 0x4F90))) + "😀"])
+        a, b = ("".join(r.choice(signs) for _ in range(r.randrange(r.choice([5, 30, 400, 1500])))) for _ in range(2))
+        rows.append((n, a, r.choice([b, a[: len(a) // 2] + b + a[len(a) // 2 :], b[:5] + a[3:], a[:7] + b])))
+    alike.share_alike(spark)
+    a, b, none = F.col("a"), F.col("b"), F.lit("")
+    x, y = (alike.words_of(F.array(*map(F.lit, w))) for w in (["", "ä", "z"], ["ä", "z", "w"]))
+    table = spark.createDataFrame(rows, "id long, a string, b string")
+    made = table.select("id", alike.alike(a, b, none, none, F.lit(0.0)).alias("r"), alike.alike(a, b, none, none, F.lit(0.6)).alias("high"), alike.alike(a, b, x, y, F.lit(0.1)).alias("words"))
+    got = {row.id: tuple(row)[1:] for row in made.collect()}
+    for n, p, q in rows:
+        want = difflib.SequenceMatcher(None, p, q).ratio()
+        assert got[n] == (want, want if want >= 0.6 else None, max(want, 0.5))
+    assert spark.sql("select 1").select(alike.alike(F.lit(None).cast("string"), none, none, none, F.lit(0.0))).first()[0] is None
+
+
 def test_short_strings_meet_only_with_a_common_subsequence(spark):
     r = random.Random(6)
     names = ["".join(r.choice("0123456789abcdef") for _ in range(10)) for _ in range(600)]
