@@ -50,6 +50,21 @@ def test_exact_near_duplicates_do_not_shuffle_vectors_to_every_block(spark):
     assert moved < 16 * m.nbytes
 
 
+def test_search_does_not_shuffle_vectors_to_every_block(spark, monkeypatch):
+    for name, rows in {"QUERY_ROWS": 64, "TABLE_ROWS": 64, "PACKED_QUERIES": 64, "PACKED_ROWS": 128, "HELD_ROWS": 1024}.items():
+        monkeypatch.setattr(vectors, name, rows, raising=False)
+    m = np.random.default_rng(5).normal(size=(2000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").cache()
+    assert table.count() == 2000
+    found, moved = _shuffled(spark, lambda: vectors.top_k(table, table, 5, same=False).collect())
+    assert moved < 8 * m.nbytes
+    got = {}
+    for x in sorted(found):
+        got.setdefault(x.query_id, []).append(x.id)
+    d = ((m[:, None, :8] - m[None, :100, :8]) ** 2).sum(2) + ((m[:, None, 8:] - m[None, :100, 8:]) ** 2).sum(2)
+    assert len(found) == 10_000 and all(got[q] == [i for i in np.argsort(d[:, q]) if i != q][:5] for q in range(100))
+
+
 def test_letter_classes_lose_no_pair_and_expand_no_copies(spark):
     r = random.Random(3)
     ids = ["REF/1", "REF/2", "ref/1", "REF/12", "X-9999", "X-9998"]
